@@ -43,10 +43,10 @@ _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16)
         with np.errstate(over="ignore"):
             for k, base in enumerate((_BASE, _INV)):
-                p = np.full(n, base, np.uint64)
+                p = np.full(size, base, np.uint64)
                 p[0] = 1
                 _POW[k] = np.multiply.accumulate(p)
     return _POW[0][:n], _POW[1][:n]

@@ -1,9 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import packing, simhash, tokens, urls
+from . import decontaminate, language, packing, simhash, tokens, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op7_language_id": language.op7_language_id,
     "op8_packing": packing.op8_packing,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_url_filter": urls.op10_url_filter,
