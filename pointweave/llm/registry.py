@@ -1,10 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, language, packing, simhash, tokens, urls
+from . import decontaminate, html, language, licenses, packing, simhash, tokens, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_html_extraction": html.op6_html_extraction,
     "op7_language_id": language.op7_language_id,
     "op8_packing": packing.op8_packing,
     "op9_token_counts": tokens.op9_token_counts,
