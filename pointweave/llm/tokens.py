@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from .common import record_batch, slices, table
 
 NAME = "byte_bpe_50k.json"
-CACHE = 400_000  # pre-tokens kept by a worker; the cache starts anew beyond it
+CACHE = 500_000  # pre-tokens of the current generation kept by a worker; the one before it stays readable
 
 
 def vocabulary(name: str = NAME) -> str:
@@ -43,6 +43,7 @@ class ArrayMerger:
         self.special = {t["content"]: t["id"] for t in j["added_tokens"] if t.get("special")}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word's ids start (one more entry: the end)."""
@@ -93,10 +94,15 @@ class ArrayMerger:
     def learn(self, texts: list[str], value) -> list[list[list[str]]]:
         """Pre-tokens of each part of each text; what isn't known yet is merged in one batch."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         words = [[self.pattern.findall(p) if k % 2 == 0 else [p] for k, p in enumerate(self.pieces(t, True))] for t in texts]
-        new = list({w for t in words for k, p in enumerate(t) if k % 2 == 0 for w in p} - self.known.keys())
+        new = set().union(*(p for t in words for p in t[::2])) - self.known.keys()
+        if self.older:
+            for w in new & self.older.keys():
+                self.known[w] = self.older[w]
+            new -= self.known.keys()
         if new:
+            new = list(new)
             ids, at = self.merge(new)
             self.known.update(zip(new, value(ids, at)))
         return words
