@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, table
 
-TREES, BITS, SAMPLE, SHARD, QUERIES = 32, 24, 4096, 8192, 4096
+TREES, BITS, SAMPLE, SHARD, QUERIES = 32, 24, 4096, 2048, 4096
 #: Candidates of a query in a shard, at least. Embeddings here are near to random directions: their 20 nearest have
 #: cosines of 0.33 to 0.5, so that a recall of 0.9 needs a large share of a shard.
 ENOUGH = 0.8
