@@ -12,6 +12,8 @@ from .common import record_batch, slices, table
 
 #: The fit's bounds: labelled rows for each language and in all, and the longest text among them, in characters.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 300, 6000, 20_000
+#: The most frequent languages are learned, this many at most.
+LANGUAGES = 1000
 LANDMARKS, RIDGE, SPACE = 64, 1e-3, 256 + 65536 + (1 << 24)
 LETTER = regex.compile(r"\p{L}")
 
@@ -90,9 +92,13 @@ class Classifier:
 
 def fit(docs: DataFrame) -> Classifier:
     """From at most SAMPLE rows of each language and SAMPLE_ALL in all, chosen by a hash; only rows whose
-    crc32(doc_id as text) mod 5 isn't 0 and whose text and lang aren't null."""
+    crc32(doc_id as text) mod 5 isn't 0 and whose text and lang aren't null. A language's rows are counted first, and only those below a hash limit
+    that lets about two samples through are ordered."""
     d = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0").where(F.length("text") <= SAMPLE_CHARS).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    # by a uniform hash first, about two samples of each language, so that no language's rows meet in one task
+    count = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = count.select("lang", F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("count")).alias("share"))
+    pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
     ids = pick.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE)
     return Classifier([(r.text, r.lang) for r in ids.orderBy("n", "lang").limit(SAMPLE_ALL).collect() if LETTER.search(r.text)])
 
