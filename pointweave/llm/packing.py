@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -10,22 +11,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, record_batch, slices, table
-from .tokens import merger, vocabulary
+from .tokens import fast_encoder, merger, vocabulary
 
+#: Longer texts are looked at for one very long run, which the array merger takes in linear rounds.
+LONG = 100_000
 LENGTH, GROUP = 2048, 20_000
+RUN = re.compile(r"\s{2000}|\S{2000}")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
 def tokenised(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1) -> DataFrame:
-    """Pieces of each document: blocks of `length` ids and one rest. Null texts hold the end id only."""
+    """Pieces of each document: blocks of `length` ids and one rest. Null texts hold the end id only.
+    The ids are the tokenizer library's; a faster library with the same ranks makes them where that is sure to agree."""
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss")])
     end = end_id.to_bytes(4, "little")
 
+    def encoded(texts: list[str]):
+        fast = fast_encoder(path)
+        for t in texts:
+            if fast is None or (len(t) > LONG and RUN.search(t)):
+                yield merger(path, "ids").ids([t])[0]
+            else:
+                yield fast.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes()
+
     def run(batches):
-        m = merger(path, "ids")
         for b in slices(batches):
             out: list[tuple] = []
-            for d, ids in zip(b.column(0).to_pylist(), m.ids([t or "" for t in b.column(1).to_pylist()])):
+            for d, ids in zip(b.column(0).to_pylist(), encoded([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 for s in range(0, n, length):

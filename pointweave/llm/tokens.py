@@ -129,6 +129,28 @@ def merger(path: str, use: str) -> ArrayMerger:
     return ArrayMerger(path)
 
 
+@lru_cache(2)
+def fast_encoder(path: str):
+    """An encoder by ranks for a vocabulary whose ids are the order of its merges; None for any other."""
+    import public_tokenizers
+    import tiktoken
+
+    m = merger(path, "ids")
+    by_rank = m.made  # in the order of the merges
+    n = len(set(m.byte.tolist()))
+    if n != 256 or m.byte.max() != 255 or not (by_rank == np.arange(256, 256 + len(by_rank))).all():
+        return None
+    name: list[bytes] = [b""] * (256 + len(by_rank))
+    for b, k in enumerate(m.byte.tolist()):
+        name[k] = bytes((b,))
+    left, right = np.empty_like(m.key), np.empty_like(m.key)
+    left[m.rank], right[m.rank] = m.key >> 20, m.key & (1 << 20) - 1
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        name[256 + k] = name[a] + name[b]
+    ranks = {x: k for k, x in enumerate(name)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=m.special) if len(ranks) == len(name) else None
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit. Null and empty texts count 0; repeated rows stay;
     other columns are ignored. No shuffle: each text is pre-tokenised, pre-tokens new to the worker are merged as
