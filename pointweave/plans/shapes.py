@@ -77,11 +77,11 @@ def map_diff(base, other, cells: int):
 
 def stream_voxels(s, d):
     """The events table as a stream of clouds, one pass over what is there, to a table of centroids."""
-    to, name = folder(s), f"voxels_{uuid.uuid4().hex[:8]}"
+    to = folder(s)
     src = flows.source(s, f"{d}/events*", s.read.parquet(f"{d}/events.parquet").schema)
     cloud = src.selectExpr("cast(user_id as double) as x", "value as y", "cast(event_id % 10 as double) as z")
-    flows.drain(flows.voxels(cloud, 25.0), name, f"{to}/state", "complete", "memory")
-    return rounded(s.table(name), "x", "y", "z")
+    flows.drain(flows.voxels(cloud, 25.0), f"{to}/out", f"{to}/state", "complete")
+    return rounded(s.read.parquet(f"{to}/out"), "x", "y", "z")
 
 
 QUERIES = {

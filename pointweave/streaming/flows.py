@@ -17,8 +17,13 @@ def source(spark: SparkSession, path: str, schema, files: int = 64, form: str =
 
 
 def drain(df: DataFrame, to: str, checkpoint: str, mode: str = "append", form: str = "parquet") -> dict:
-    """Runs what is there to a sink and returns a receipt: batches, rows in, rows out if the sink tells (else -1)."""
-    q = df.writeStream.format(form).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to)
+    """Runs what is there to a sink and returns a receipt: batches, rows in, rows out if the sink tells (else -1).
+    In complete mode each batch replaces the table."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        q = w.foreachBatch(lambda b, _: b.write.mode("overwrite").format(form).save(to)).start()
+    else:
+        q = w.format(form).start(to)
     q.awaitTermination()
     seen = [json.loads(p.json) if not isinstance(p, dict) else p for p in q.recentProgress]
     return {"batches": len(seen), "rows_in": sum(p["numInputRows"] for p in seen), "rows_out": seen[-1]["sink"].get("numOutputRows", -1) if seen else 0}

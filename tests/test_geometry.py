@@ -40,7 +40,7 @@ def test_planes_and_spheres(spark):
     model, _ = geometry.ransac(cloud(spark, ball), 0.01, "sphere", tries=10)
     assert model == pytest.approx((1, 2, 3, 3), abs=1e-6)
     assert geometry.ransac(cloud(spark, flat[:2]), 0.1)[0] is None
-    room = np.concatenate((flat, np.column_stack((np.full(100, 20.0), rng.uniform(-5, 5, (100, 2))))))
+    room = np.concatenate((flat, np.column_stack((np.full(100, 20.0), rng.uniform(-5, 5, 100), rng.uniform(3, 9, 100)))))
     n = {r.label: r["count"] for r in geometry.multi_plane(cloud(spark, room), 0.05, 3, 50, 60).groupBy("label").count().collect()}
     assert n == {0: 200, 1: 100}
 
