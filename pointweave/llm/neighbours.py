@@ -1,8 +1,12 @@
-"""Approximate nearest neighbours by a hash-prefix forest, held in shards.
+"""Approximate nearest neighbours by a hash-prefix forest, dealt over tasks by prefix.
 
-Each shard has, for every tree, its vectors' hash strings as one sorted array. A query descends to its longest prefix
-match in every tree and ascends in all trees at the same time, one bit a step, until enough candidates have the prefix
-in some tree; these are scored exactly. Shards and blocks of queries have a bounded size, so no group is unbounded."""
+In each tree a vector's hash string says on which side of a hyperplane it lies, bit by bit; a bit's hyperplane depends
+on the prefix before it, so that strings stay even in dense clusters too. Vectors with the same leading bits form a
+node of about `leaf` vectors, and every node is one task's sorted range of strings. A query descends to its longest
+match in every tree and then ascends in all trees at the same time: the next prefix is the one that strays least from
+its own string (sum of squared distances to the hyperplanes crossed). How many nodes it visits is measured, on queries
+whose exact neighbours one scan finds; with the leaf fixed, work per query doesn't grow with the number of vectors but
+with how spread out its neighbours are."""
 
 from __future__ import annotations
 
@@ -10,110 +14,215 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, table
+from .common import cut, record_batch, slices, table
 
-TREES, BITS, SAMPLE, SHARD, QUERIES = 32, 24, 4096, 2048, 4096
-#: Candidates of a query in a shard, at least. Embeddings here are near to random directions: their 20 nearest have
-#: cosines of 0.33 to 0.5, so that a recall of 0.9 needs a large share of a shard.
-ENOUGH = 0.8
-
-
-def fit(vectors: np.ndarray, trees: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directions between random pairs of a sample mixed with random ones, each with the sample's median as its
-    threshold, so that the halves are even. The extra component makes inner product a matter of direction."""
-    r = np.random.default_rng(11)
-    d = vectors.shape[1]
-    w = r.standard_normal((trees * bits, d)) / np.sqrt(d)
-    if len(vectors) > 1:
-        a, b = r.integers(0, len(vectors), (2, trees * bits))
-        gap = vectors[a] - vectors[b]
-        w = w * np.linalg.norm(gap, axis=1).mean() * 0.5 + gap
-    return w, np.median(vectors @ w.T, axis=0) if len(vectors) else np.zeros(trees * bits)
+#: Trees; vectors the planes are fitted on; vectors of a node, about; bits with a plane for each prefix; queries that
+#: the number of nodes is measured on; share of their exact neighbours that those nodes must hold.
+TREES, SAMPLE, LEAF, PATH, PROBED, TARGET = 2, 8192, 8192, 11, 128, 0.95
 
 
 class Forest:
-    def __init__(self, x: np.ndarray, top: float, planes, trees: int, bits: int):
-        self.x, self.planes, self.trees, self.bits = x, planes, trees, bits
-        extra = np.sqrt(np.maximum(0, top**2 - (x**2).sum(1)))
-        code = self.codes(np.column_stack((x, extra)))
-        self.order = np.argsort(code, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(code, self.order, 0)
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        w, cut_at = self.planes
-        bit = ((x @ w.T) > cut_at).reshape(len(x), self.trees, self.bits)
-        return (bit << np.arange(self.bits - 1, -1, -1)).sum(2)
-
-    def search(self, q: np.ndarray, k: int, enough: int):
-        """Row of q, row of x and score of the k best candidates of each query."""
-        code = self.codes(np.column_stack((q, np.zeros(len(q)))))
-        n, level = len(self.x), np.full(len(q), -1)
-        low, high = np.zeros((2, len(q), self.trees), np.int64)
-        for up in range(self.bits + 1):
-            open_ = np.flatnonzero(level < 0)
-            if not len(open_):
-                break
-            for t in range(self.trees):
-                first = code[open_, t] >> up << up
-                low[open_, t] = np.searchsorted(self.sorted[:, t], first, "left")
-                high[open_, t] = np.searchsorted(self.sorted[:, t], first + (1 << up), "left")
-            level[open_[(high - low)[open_].sum(1) >= enough]] = up
-        for i in range(len(q)):
-            mark = np.zeros(n, bool)
-            for t in np.flatnonzero(high[i] > low[i]):
-                mark[self.order[low[i, t] : high[i, t], t]] = True
-            c = np.flatnonzero(mark)
-            s = (self.x[c] * q[i]).sum(1)
-            if len(c) > k:  # the k-th score's ties stay, for the smallest ids
-                keep = s >= np.partition(s, len(c) - k)[len(c) - k]
-                c, s = c[keep], s[keep]
-            yield i, c, s
-
-
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, bits: int = BITS, enough: float = ENOUGH, shard: int = SHARD) -> DataFrame:
+    """Hyperplanes of all trees, for strings of `bits` bits."""
+
+    def __init__(self, sample: np.ndarray, trees: int, bits: int):
+        r = np.random.default_rng(11)
+        self.bits, self.path, d = bits, min(bits, PATH), sample.shape[1]
+        self.w = r.standard_normal((trees, 2**self.path - 1 + bits - self.path, d)) / np.sqrt(d)
+        self.at = np.zeros(self.w.shape[:2])
+        for t in range(trees):
+            prefix = np.zeros(len(sample), np.int64)
+            for level in range(bits):
+                own = self.plane(prefix, np.int64(level))
+                for p in np.unique(own):
+                    m = np.flatnonzero(own == p)
+                    if level < PATH and len(m) > 1:
+                        a, b = r.choice(m, 2, replace=False)
+                        gap = sample[a] - sample[b]
+                        if gap.any():
+                            self.w[t, p] = gap / np.linalg.norm(gap)
+                    self.at[t, p] = np.median(sample[m] @ self.w[t, p])
+                prefix = 2 * prefix + (self.side(sample, t, own) > 0)
+
+    @staticmethod
+    def plane(prefix: np.ndarray, level: np.int64) -> np.ndarray:
+        """Past PATH bits, where the sample is too small for a plane a prefix, all prefixes share the level's plane."""
+        return prefix + 2**level - 1 if level < PATH else np.full_like(prefix, 2**PATH - 1 + level - PATH)
+
+    def side(self, x: np.ndarray, t: int, plane: np.ndarray) -> np.ndarray:
+        return (x * self.w[t, plane]).sum(-1) - self.at[t, plane]
+
+    def codes(self, x: np.ndarray, t: int) -> np.ndarray:
+        code = np.zeros(len(x), np.int64)
+        for level in range(self.bits):
+            code = 2 * code + (self.side(x, t, self.plane(code, np.int64(level))) > 0)
+        return code
+
+    def ascent(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tree, code and cost of the nodes a query visits, in order, `most` at most. Each prefix has a node at its own
+        cost below it, so keeping the `most` cheapest prefixes a level loses none of the `most` cheapest nodes."""
+        trees = len(self.w)
+        tree, code, cost = [], [], []
+        for t in range(trees):
+            c, s = np.zeros((len(q), 1), np.int64), np.zeros((len(q), 1))
+            for level in range(self.bits):
+                gap = self.side(q[:, None, :], t, self.plane(c, np.int64(level)))
+                c, s = np.hstack((2 * c, 2 * c + 1)), np.hstack((s + np.maximum(gap, 0) ** 2, s + np.maximum(-gap, 0) ** 2))
+                if c.shape[1] > most:
+                    near = np.argpartition(s, most - 1, axis=1)[:, :most]
+                    c, s = np.take_along_axis(c, near, 1), np.take_along_axis(s, near, 1)
+            tree.append(np.full_like(c, t))
+            code.append(c)
+            cost.append(s)
+        tree, code, cost = np.hstack(tree), np.hstack(code), np.hstack(cost)
+        order = np.argsort(cost, axis=1, kind="stable")[:, :most]
+        return tuple(np.take_along_axis(y, order, 1) for y in (tree, code, cost))
+
+    def steps(self, most: int) -> int:
+        """Queries to ascend with at once, for about 64 MB."""
+        return max(1, (1 << 23) // (2 * most * self.w.shape[2]))
+
+
+def on_sphere(x: np.ndarray, top: float, query: bool) -> np.ndarray:
+    """One component more, so that the largest inner product is the least distance: vectors and queries have length top."""
+    length = np.sqrt((x**2).sum(1))
+    if query:
+        return np.column_stack((x * (top / length)[:, None], np.zeros(len(x))))
+    return np.column_stack((x, np.sqrt(np.maximum(0, top**2 - length**2))))
+
+
+def vectors_of(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, step: int = 512):
+    """Row of q, row of x, id and score of each query's k best, ties to smaller ids. A matrix product finds those near
+    enough; a pair's score is summed anew so that it is the same in every task."""
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        s = part @ x.T
+        least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(part), -np.inf)
+        slack = 1e-12 * np.sqrt((part**2).sum(1) * (x**2).sum(1).max())
+        row, col = np.nonzero(s >= (least - slack)[:, None])
+        score = np.concatenate([(part[row[i : i + 65536]] * x[col[i : i + 65536]]).sum(1) for i in range(0, len(row), 65536)])
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield row[keep] + at, col[keep], ids[col[keep]], score[keep]
+
+
+def visits(classes: DataFrame, forest: Forest, top: float, k: int, probed: int, target: float) -> int:
+    """Nodes a query visits so that a share `target` of the exact neighbours of `probed` queries is in them."""
+    asked = classes.where("asks = 1").select("least", "x").orderBy(F.xxhash64("least", F.lit(7)), "least").limit(probed).collect()
+    q, qid = np.array([r.x for r in asked], float), np.array([r.least for r in asked])
+    out = pa.schema([("i", pa.int32()), ("c", pa.int64()), ("score", pa.float64()), ("x", pa.list_(pa.float64()))])
+
+    def scan(batches):
+        held, ids = np.zeros((0, q.shape[1])), np.zeros(0, np.int64)
+        row = np.zeros(0, np.int64)
+        for b in batches:
+            for s in slices([b], 4096):
+                x, c = vectors_of(s.column("x")), np.asarray(s.column("least"))
+                new = list(best_of(q, x, c, k + 1))
+                row, ids, held = np.concatenate([row, *(n[0] for n in new)]), np.concatenate([ids, *(n[2] for n in new)]), np.concatenate([held, *(x[n[1]] for n in new)])
+                score = (q[row] * held).sum(1)
+                order = np.lexsort((ids, -score, row))
+                order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k + 1]
+                row, ids, held = row[order], ids[order], held[order]
+        if len(row):
+            yield record_batch(out, [row.astype(np.int32), ids, (q[row] * held).sum(1), held.tolist()])
+
+    near = classes.select("least", "x").mapInArrow(scan, "i int, c long, score double, x array<double>")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k + 1).collect()
+    near = [r for r in near if r.c != qid[r.i]]
+    if not near:
+        return 1
+    i, x = np.array([r.i for r in near]), on_sphere(np.array([r.x for r in near]), top, False)
+    own = np.array([forest.codes(x, t) for t in range(len(forest.w))])
+    most = 16
+    while True:
+        reached = np.full(len(near), np.inf)
+        for at in range(0, len(q), forest.steps(most)):
+            here = np.flatnonzero((i >= at) & (i < at + forest.steps(most)))
+            tree, code, _ = forest.ascent(on_sphere(q[at : at + forest.steps(most)], top, True), most)
+            if len(here):
+                met = code[i[here] - at] == np.take_along_axis(own[:, here].T, tree[i[here] - at], 1)
+                reached[here] = np.where(met.any(1), met.argmax(1), np.inf)
+        enough = int(np.ceil(target * len(reached))) - 1
+        if (n := np.sort(reached)[enough]) < np.inf:
+            return int(n) + 1
+        most *= 4
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, leaf: int = LEAF, probed: int = PROBED, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by `every`.
 
     Equal vectors are one class, searched once and expanded to its k + 1 smallest ids (more cannot be among k
     nearest). Null or zero vectors, those with null or non-finite components, of another length than most, and rows
-    without an id take no part. Repeated ids with equal vectors count once; an empty table gives an empty result."""
+    without an id take no part. Repeated ids with equal vectors count once; an empty table gives an empty result, and
+    so does one without queries. Up to `leaf` distinct vectors, the search is exact."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    e = F.col("embedding")
+    e, kept = F.col("embedding"), "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     v = vectors.select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     v = v.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     v = v.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
     size = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return spark.createDataFrame([], schema)
-    v = cut(v.where(F.size("embedding") == size.d).withColumn("key", F.struct(F.xxhash64("embedding").alias("a"), F.hash("embedding").alias("b"))))
-    classes = cut(v.groupBy("key").agg(F.min("vec_id").alias("least"), F.max(F.when(F.col("vec_id") % every == 0, F.lit(1)).otherwise(0)).alias("asks"), F.first("embedding").alias("x")))
+    v = cut(v.where(F.size("embedding") == size.d).select("vec_id", F.struct(F.xxhash64("embedding").alias("a"), F.hash("embedding").alias("b")).alias("key"), e.cast(kept).alias("x")))
+    classes = cut(v.groupBy("key").agg(F.min("vec_id").alias("least"), F.max(F.when(F.col("vec_id") % every == 0, F.lit(1)).otherwise(0)).alias("asks"), F.first("x").alias("x")))
     members = v.select("key", "vec_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    n, asks, top = classes.agg(F.count("*"), F.sum("asks"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    sample = np.array([r.x for r in classes.select("x").orderBy(F.xxhash64("least")).limit(SAMPLE).collect()])
-    sample = np.column_stack((sample, np.sqrt(np.maximum(0, top**2 - (sample**2).sum(1)))))
-    model = spark.sparkContext.broadcast((fit(sample, trees, bits), top))
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-(asks or 0) // QUERIES))
-    spread = lambda m: F.pmod(F.xxhash64("least", F.lit(3)), F.lit(m)).cast("int")
-    every_of = lambda m: F.explode(F.array(*[F.lit(i) for i in range(m)])) if m < 500 else F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    items = classes.select("least", "x", spread(shards).alias("s"), every_of(blocks).alias("b"))
-    queries = classes.where("asks = 1").select("least", "x", every_of(shards).alias("s"), spread(blocks).alias("b"))
+    squares = F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+    n, asks, top = classes.agg(F.count("*"), F.sum("asks"), F.max(F.sqrt(squares))).first()
+    if not asks:
+        return spark.createDataFrame([], schema)
+    bits = max(0, int(np.ceil(np.log2(n / leaf))))
+    sample = np.array([r.x for r in classes.select("x").orderBy(F.xxhash64("least"), "least").limit(SAMPLE).collect()], float)
+    forest = Forest(on_sphere(sample, top, False), trees if bits else 1, bits)
+    most = visits(classes, forest, top, k, probed, target) if bits else 1
+    model = spark.sparkContext.broadcast((forest, top))
+    placed = pa.schema([("least", pa.int64()), ("x", pa.list_(pa.float32() if kept == "array<float>" else pa.float64())), ("t", pa.int32()), ("node", pa.int64())])
+    to = f"least long, x {kept}, t int, node long"
+
+    def place(batches):
+        forest, top = model.value
+        for b in slices(batches, 4096):
+            x = on_sphere(vectors_of(b.column("x")), top, False)
+            for t in range(len(forest.w)):
+                yield record_batch(placed, [b.column("least"), b.column("x").cast(placed.field("x").type), np.full(len(x), t, np.int32), forest.codes(x, t)])
+
+    def ascend(batches):
+        forest, top = model.value
+        for b in slices(batches, min(1024, forest.steps(most))):
+            tree, code, _ = forest.ascent(on_sphere(vectors_of(b.column("x")), top, True), most)
+            row = pa.array(np.repeat(np.arange(len(tree)), tree.shape[1]))
+            yield record_batch(placed, [b.column("least").take(row), b.column("x").take(row).cast(placed.field("x").type), tree.ravel().astype(np.int32), code.ravel()])
+
+    items = classes.select("least", "x").mapInArrow(place, to)
+    queries = classes.where("asks = 1").select("least", "x").mapInArrow(ascend, to)
+    if bits:
+        items = cut(items)
+        over = items.groupBy("t", "node").count().where(F.col("count") > 2 * leaf).select("t", "node", F.ceil(F.col("count") / leaf).cast("int").alias("parts"))
+        over = cut(over)
+    if bits and not over.isEmpty():  # strings that no bit tells apart: the node in parts, each met by its queries
+        items = items.join(over, ["t", "node"], "left").withColumn("part", F.pmod(F.xxhash64("least", F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int"))
+        queries = queries.join(over, ["t", "node"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    else:
+        items, queries = (d.withColumn("part", F.lit(0)) for d in (items, queries))
+    items, queries = (d.select("least", "x", "t", "node", "part") for d in (items, queries))
     out = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = (np.array(t["x"].combine_chunks().flatten()).reshape(len(t), -1) for t in (left, right))
-        if not len(q) or not len(x):
+        if not len(left) or not len(right):
             return out.empty_table()
-        order = np.argsort(np.array(right["least"]))
-        ids, x, qid = np.array(right["least"])[order], x[order], np.array(left["least"])
-        planes, top = model.value
-        f = Forest(x, top, planes, trees, bits)
-        want = max(10 * (k + 1), int(enough * len(x)))
-        rows = [(np.full(len(c), qid[i]), ids[c], s) for i, c, s in f.search(q, k + 1, want)]
-        rows = [tuple(y[np.lexsort((c, -s))[: k + 1]] for y in (a, c, s)) for a, c, s in rows]
-        return pa.table([np.concatenate([r[j] for r in rows]) for j in range(3)], schema=out)
-
-    found = queries.groupBy("s", "b").cogroup(items.groupBy("s", "b")).applyInArrow(search, "q long, c long, score double")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k + 1).select("q", "c", "score")
+        q, x, qid = vectors_of(left["x"]), vectors_of(right["x"]), np.asarray(left["least"])
+        found = list(best_of(q, x, np.asarray(right["least"]), k + 1))
+        return pa.table([np.concatenate([y(f) for f in found]) for y in (lambda f: qid[f[0]], lambda f: f[2], lambda f: f[3])], schema=out)
+
+    found = queries.groupBy("t", "node", "part").cogroup(items.groupBy("t", "node", "part")).applyInArrow(search, "q long, c long, score double")
+    # A pair found in several trees has the same score each time.
+    best = found.withColumn("n", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k + 1).select("q", "c", "score").dropDuplicates(["q", "c"])
     named = classes.select(F.col("least").alias("c"), "key").join(members, "key").select("c", "vec_id")
     lists = best.join(named, "c").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).select("q", "vec_id", "score")
     askers = v.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id")).distinct().join(classes.select("key", F.col("least").alias("q")), "key").select("q", "query_id")

@@ -10,21 +10,50 @@ def test_recall_scores_and_edges(spark):
     rows = [(k, v.tolist(), 1.0) for k, v in enumerate(x)] + [(3000, None, 1.0), (3020, [0.0] * 16, 1.0), (3040, [None] * 16, 1.0), (3060, [float("nan")] * 16, 1.0), (3080, [1.0], 1.0)]
     df = spark.createDataFrame(rows + [rows[7]], "vec_id long, embedding array<float>, score double")
     got = {}
-    for shard in (400, 8192):
-        for q in nearest(df, shard=shard).collect():
-            got.setdefault((shard, q.query_id), []).append(q)
+    for leaf in (100, 8192):
+        for q in nearest(df, leaf=leaf).collect():
+            got.setdefault((leaf, q.query_id), []).append(q)
         hit = 0
         for k in range(0, 1500, 20):
             s = x @ x[k]
             s[k] = -np.inf
             best = sorted(range(1500), key=lambda i: (-round(s[i], 9), i))[:20]
-            mine = sorted(got[shard, k], key=lambda q: q.rank)
+            mine = sorted(got[leaf, k], key=lambda q: q.rank)
             assert [q.rank for q in mine] == list(range(1, 21))
             assert all(abs(q.score - s[q.vec_id]) < 1e-9 for q in mine)
             hit += len({q.vec_id for q in mine} & set(best))
             if k == 60:
                 assert {q.vec_id for q in mine} == set(best)
+            if leaf > 1500:
+                assert [q.vec_id for q in mine] == best
         assert hit / 1500 > 0.9
     assert {q for _, q in got} == set(range(0, 1500, 20))
     assert nearest(df.where("false")).count() == 0
     assert [q.vec_id for q in nearest(df.where("vec_id in (0, 1)")).collect()] == [1]
+
+
+def test_strings_that_no_bit_tells_apart_are_split(spark):
+    """Near copies in the thousands, in one direction: nodes stay bounded or are met in parts; nothing is lost."""
+    r = np.random.default_rng(5)
+    x = np.vstack((np.outer(1 + np.arange(600) / 1e6, np.ones(8)), r.standard_normal((200, 8))))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, leaf=50, target=1.0, probed=40).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hit = sum(q.vec_id in set(np.argsort(-s[q.query_id], kind="stable")[:20]) for q in got)
+    assert len(got) == 40 * 20 and hit > 0.95 * len(got)
+
+
+def test_ascent_orders_all_nodes_by_cost():
+    from pointweave.llm.neighbours import Forest
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((500, 6))
+    f = Forest(x, 2, 4)
+    tree, code, cost = f.ascent(x[:9], 32)
+    assert all(len({*zip(t, c)}) == 32 for t, c in zip(tree.tolist(), code.tolist()))
+    few = f.ascent(x[:9], 5)
+    assert np.allclose(few[2], cost[:, :5]) and (np.diff(cost) >= 0).all()
+    for t in range(2):  # the query's own string costs nothing
+        own = (tree == t) & (code == f.codes(x[:9], t)[:, None])
+        assert (own.sum(1) == 1).all() and (cost[own] == 0).all()
