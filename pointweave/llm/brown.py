@@ -151,7 +151,7 @@ def score(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFr
     move = np.log10((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * ALL))
     emit = np.append(np.log10(count / np.maximum(mass[group[: len(count)]], 1)) if len(count) else np.zeros(0), [0.0, 0.0])
     model = sc.broadcast((group, move, emit, np.append(count, [0, 0]), counts.where(F.col("h") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
-    base_denominator = float(np.log10(float(total + 1) * float(distinct + 1)))
+    base_denominator = float(np.log10(total + distinct + 1))
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("hs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
 
     def run(batches):
