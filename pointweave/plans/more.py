@@ -64,6 +64,10 @@ _DOT = "list_dot_product(CAST(embedding AS DOUBLE[]), {q}) / sqrt(list_dot_produ
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _COMMON = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 SQL = {
+    "histogram_equalisation": "SELECT v, CAST(round(c * 255.0::DOUBLE / (SELECT count(*) FROM part)) AS INTEGER) AS lut FROM (SELECT p_size AS v, sum(count(*)) OVER (ORDER BY p_size) AS c FROM part GROUP BY p_size)",
+    "trajectory_interpolation": f"""WITH e AS {EVENTS}, c AS (SELECT * FROM e WHERE topic = 'click'), p AS (SELECT * FROM e WHERE topic = 'purchase'),
+l AS (SELECT c.id, max_by(p.value, p.ts_ns) AS v, max(p.ts_ns) AS t FROM c JOIN p ON c.user_id = p.user_id AND p.ts_ns <= c.ts_ns GROUP BY c.id), r AS (SELECT c.id, min_by(p.value, p.ts_ns) AS v, min(p.ts_ns) AS t FROM c JOIN p ON c.user_id = p.user_id AND p.ts_ns >= c.ts_ns GROUP BY c.id)
+SELECT c.id, round(CASE WHEN l.v IS NULL THEN r.v WHEN r.v IS NULL THEN l.v ELSE l.v + (c.ts_ns - l.t)::DOUBLE / (r.t - l.t) * (r.v - l.v) END, 4) AS value FROM c LEFT JOIN l ON c.id = l.id LEFT JOIN r ON c.id = r.id""",
     "box_overlap": f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {_COMMON} AS c, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_COMMON} AS u, (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS h FROM {DET} a JOIN {DET} b USING (image_id, class_id) WHERE a.id < b.id) SELECT a_id, b_id, round(c / u, 4) AS iou, round(c / u - (h - u) / h, 4) AS giou FROM p WHERE round(c / u, 4) > 0.3",
     "box_clip": f"SELECT id, greatest(0, least(x0, 45)) AS x0, greatest(0, least(y0, 30)) AS y0, greatest(0, least(x1, 45)) AS x1, greatest(0, least(y1, 30)) AS y1 FROM {DET}",
     "semantic_search": f"SELECT vec_id AS id, round(0.7 * ({_DOT}) + 0.3 * (label / 10.0), 4) AS score FROM embeddings ORDER BY 0.7 * ({_DOT}) + 0.3 * (label / 10.0) DESC, id LIMIT 10",

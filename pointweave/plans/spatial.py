@@ -70,6 +70,8 @@ _KEY = "CAST(floor(x / {0}) AS BIGINT) AS ix, CAST(floor(y / {0}) AS BIGINT) AS
 _NEAR = f"SELECT a.pid AS qid, b.pid AS pid, {_D2} AS d2 FROM {CUST} a, {CUST} b WHERE {_D2} <= "
 _KNN = f"SELECT qid, rank, d2 FROM (SELECT a.pid AS qid, {_D2} AS d2, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY {_D2}, b.pid) AS INT) AS rank FROM {CUST} a, {CUST} b WHERE a.pid <> b.pid) WHERE rank <= 4"
 SQL = {
+    "integral_image": "WITH p AS (SELECT p_partkey % 3 AS image_id, p_size AS y, p_partkey % 20 AS x, count(*) AS v FROM part GROUP BY 1, 2, 3), r AS (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x) AS r FROM p) SELECT image_id, y, x, v, CAST(sum(r) OVER (PARTITION BY image_id, x ORDER BY y) AS BIGINT) AS s FROM r",
+    "chamfer_hausdorff": f"WITH d AS (SELECT a.pid AS i, b.pid AS j, power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) AS d2 FROM {CUST} a, {PART} b), p AS (SELECT min(d2) AS m FROM d GROUP BY i), q AS (SELECT min(d2) AS m FROM d GROUP BY j) SELECT round((SELECT avg(m) FROM p), 4) AS ab_mean, round((SELECT avg(m) FROM q), 4) AS ba_mean, round((SELECT avg(m) FROM p) + (SELECT avg(m) FROM q), 4) AS chamfer, round(sqrt(greatest((SELECT max(m) FROM p), (SELECT max(m) FROM q))), 4) AS hausdorff",
     "voxel_centroid": f"WITH k AS (SELECT *, {_KEY.format('4.0')} FROM {LI}) SELECT ix, iy, iz, count(*) AS n, round(avg(x), 8) AS x, round(avg(y), 8) AS y, round(avg(z), 8) AS z, round(avg(intensity), 8) AS intensity FROM k GROUP BY ix, iy, iz",
     "occupancy_grid": f"SELECT {_KEY.format('5.0')}, count(*) AS n FROM {LI} GROUP BY 1, 2, 3",
     "crop_box": f"SELECT * FROM {PART} WHERE {_BOX}",
