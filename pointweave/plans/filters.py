@@ -13,7 +13,7 @@ H, W = 52, 20
 
 def exposures(s, d):
     p = read(s, d, "part").where("p_partkey < 1500")
-    return p.selectExpr("p_partkey % 3 as image_id", "cast(p_partkey / 3 as int) div 20 as y", "cast(p_partkey / 3 as int) % 20 as x", "p_partkey * 7 % 256 as r", "p_partkey * 13 % 256 as g", "p_size * 5 as b")
+    return p.selectExpr("p_partkey % 3 as image_id", "cast(cast(p_partkey / 3 as int) div 20 as int) as y", "cast(p_partkey / 3 as int) % 20 as x", "p_partkey * 7 % 256 as r", "p_partkey * 13 % 256 as g", "p_size * 5 as b")
 
 
 def _near(reach: str, y: str, x: str, missing: str = "0.0") -> str:
