@@ -140,7 +140,7 @@ SQL = {
     "image_open": f"{_OPEN} SELECT * FROM o",
     "image_tophat": f"{_OPEN} SELECT image_id, y, x, p.v - o.v AS v FROM {PIX} p JOIN o USING (image_id, y, x)",
     "image_threshold": f"SELECT image_id, y, x, CASE WHEN v > 100 THEN 255 ELSE 0 END AS v FROM {PIX}",
-    "image_otsu": f"WITH c AS (SELECT a.image_id, a.v AS t, count(*) FILTER (b.v <= a.v) AS n0, avg(b.v) FILTER (b.v <= a.v) AS m0, count(*) FILTER (b.v > a.v) AS n1, avg(b.v) FILTER (b.v > a.v) AS m1 FROM (SELECT DISTINCT image_id, v FROM {PIX}) a JOIN {PIX} b USING (image_id) GROUP BY 1, 2) SELECT image_id, arg_max(t, n0 * n1 * (m0 - m1) * (m0 - m1)) AS t FROM c WHERE n1 > 0 GROUP BY 1",
+    "image_otsu": f"WITH c AS (SELECT a.image_id, a.v AS t, count(*) FILTER (b.v <= a.v) AS n0, avg(b.v) FILTER (b.v <= a.v) AS m0, count(*) FILTER (b.v > a.v) AS n1, avg(b.v) FILTER (b.v > a.v) AS m1 FROM (SELECT DISTINCT image_id, v FROM {PIX}) a JOIN {PIX} b USING (image_id) GROUP BY 1, 2) SELECT image_id, arg_max(t, (round(n0 * n1 * (m0 - m1) * (m0 - m1), 6), -t)) AS t FROM c WHERE n1 > 0 GROUP BY 1",
     "mask_runs_back": f"SELECT image_id, CAST(y AS BIGINT) AS y, x FROM {PIX} WHERE v > 100",
     "image_resize": f"SELECT image_id, CAST(r.range AS INTEGER) AS y, CAST(c.range AS INTEGER) AS x, v FROM range(26) r, range(40) c JOIN {PIX} p ON p.y = r.range * 52 // 26 AND p.x = c.range * 20 // 40",
     "keypoint_grid": "SELECT c_custkey AS id, CAST(row_number() OVER (PARTITION BY floor(c_nationkey / 10), floor(c_acctbal / 100 / 10) ORDER BY c_acctbal % 7 DESC, c_custkey) AS INT) AS n FROM customer WHERE c_acctbal >= 0 AND c_acctbal / 100 < 80 AND c_nationkey < 20 QUALIFY n <= 2",
