@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import near_copies
 from .common import cut, record_batch, slices, table
 from .components import components
 
@@ -154,19 +155,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{id_col} long, fp long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for each row. Null, empty and wordless texts have fingerprint zero and link like
-    any other; equal fingerprints form one class before any replication, so copies cost nothing further; repeated
-    rows stay; component_id is the smallest id reachable; a null id stays a row and never names a component unless
-    it has no other. An empty table gives an empty result."""
-    fp = cut(fingerprints(docs, id_col, text_col))
-    classes = fp.groupBy("fp").agg(F.min(id_col).alias("least"))
-    classes = cut(classes)
-    roots = cut(components(links(classes)))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fp.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, key, bands): also what the links by shared shingles need, in the same pass."""
+    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in slices(batches):
+            text = b.column(1).to_pylist()
+            fp = np.array([fingerprint(t) for t in text], np.uint64)
+            sets = [near_copies.shingles(t) for t in text]
+            key = np.array([near_copies.key_of(s) for s in sets], np.uint64)
+            yield record_batch(schema, [b.column(0), fp.view(np.int64), key.view(np.int64), [near_copies.bands(s).view(np.int64) for s in sets]])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{id_col} long, fp long, key long, bands array<long>")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = near_copies.SIMILARITY) -> DataFrame:
+    """(id, fingerprint, component_id) for each row. Texts link if their 5-word shingles have a Jaccard similarity of
+    `similarity` or more; with None, if their fingerprints lie within 2 bits, as op1 asks. Null, empty and wordless
+    texts have fingerprint zero and link like any other; equal texts form one class before any replication, so copies
+    cost nothing further; repeated rows stay; component_id is the smallest id reachable; a null id stays a row and
+    never names a component unless it has no other. An empty table gives an empty result."""
+    by = "fp" if similarity is None else "key"
+    fp = cut(fingerprints(docs, id_col, text_col) if similarity is None else _sketched(docs, id_col, text_col))
+    least = F.min(id_col).alias("least")
+    classes = cut(fp.groupBy(by).agg(*([least] if similarity is None else [least, F.first("bands").alias("bands")])))
+    roots = cut(components(links(classes))) if similarity is None else near_copies.roots(docs.select(id_col, text_col), classes, similarity)
+    named = classes.join(roots.withColumnRenamed("node", by), by, "left").select(by, "least", F.coalesce("root", by).alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(by, "component_id")
+    return fp.join(named, by).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=None)
