@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import hashed_words, mix, record_batch, slices, table
 
-#: A one is a compared token. Any 13 tokens with one substitution, and most with two, agree under some mask.
-MASKS = ("1111011101", "1101110111", "1011101111")
 WINDOW, SHARE, SHORT = 16, 0.8, 5
+#: Masks by the fewest tokens of an item they serve; a one is a compared token. Within any window of that many tokens
+#: with as many substitutions as SHARE lets pass, the longer items' included, some mask meets no substitution.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    7: ("11111", "111011", "110111"),
+    10: ("111011", "11010011", "11111"),
+    15: ("1111011", "11001000111", "11010110001"),
+}
 #: Test tokens in one pass; a larger benchmark is searched block by block, so what is sent to workers is bounded.
 BLOCK = 2_000_000
 
@@ -33,13 +39,10 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [hashed_words((t or "").encode("utf-8", "surrogatepass"))[2] for _, t in items]
-        self.masks = [*MASKS]
-        span = max(map(len, MASKS))
-        short = sorted({len(w) for w in self.words if SHORT <= len(w) < span})
-        self.masks += ["1" * n for n in short]  # a shorter item is sought whole
         self.tables = []
-        for m in self.masks:
-            part = [(_seed(w, m), k) for k, w in enumerate(self.words) if (len(w) >= span if m in MASKS else len(w) == len(m))]
+        served = [max((n for n in MASKS if n <= len(w)), default=None) if len(w) >= SHORT else None for w in self.words]
+        for n, m in ((n, m) for n in MASKS for m in MASKS[n] if n in served):
+            part = [(_seed(w, m), k) for k, w in enumerate(self.words) if served[k] == n]
             s = np.concatenate([p for p, _ in part]) if part else np.zeros(0, np.uint64)
             item = np.repeat([k for _, k in part], [len(p) for p, _ in part]).astype(np.int64) if part else np.zeros(0, np.int64)
             pos = np.concatenate([np.arange(len(p)) for p, _ in part]) if part else np.zeros(0, np.int64)

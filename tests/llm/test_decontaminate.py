@@ -1,4 +1,7 @@
+from itertools import combinations
+
 from pointweave.llm import decontaminate
+from pointweave.llm.common import hashed_words
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
@@ -16,3 +19,20 @@ def test_hits(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [3, 4, 5, 7]
     assert decontaminate.contamination(d, b.where("false")).where("contaminated").count() == 0
     assert decontaminate.contamination(d.where("false"), b).count() == 0
+
+
+def test_every_substitution_the_share_allows(spark):
+    for size in range(5, 22):
+        item = [f"w{k}" for k in range(size)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        window = min(size, decontaminate.WINDOW)
+        need = next(n for n in range(window) if n >= decontaminate.SHARE * window)
+        for places in combinations(range(window), window - need):
+            text = " ".join([*"abcdefgh", *(f"x{k}" if k in places else w for k, w in enumerate(item[:window])), *(f"y{k}" for k in range(size - window)), *"ijklmnop"])
+            assert index.overlaps(hashed_words(text.encode())[2]), (size, places)
+        text = " ".join(["a", *(f"x{k}" if k <= window - need else w for k, w in enumerate(item[:window])), *(f"y{k}" for k in range(size - window)), "b"])
+        assert not index.overlaps(hashed_words(text.encode())[2])
+    every_fifth = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(f"w{k}" for k in range(40))]
+    d = spark.createDataFrame([(1, " ".join(every_fifth)), (2, "some other text of no item at all")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.clean(d, b).collect()] == [2]
