@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import record_batch, slices, table
 
-#: The fit's bounds: labelled rows for each language and in all, and the longest text among them, in characters.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS = 300, 6000, 20_000
+#: The fit's bounds: labelled rows for each language and in all; characters for each language and in all, where a
+#: language's first row counts whatever its length and the row that reaches the bound is taken whole.
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, SAMPLE_CHARS_ALL = 300, 6000, 6_000_000, 120_000_000
 #: The most frequent languages are learned, this many at most.
 LANGUAGES = 1000
 LANDMARKS, RIDGE, SPACE = 64, 1e-3, 256 + 65536 + (1 << 24)
@@ -91,16 +92,19 @@ class Classifier:
 
 
 def fit(docs: DataFrame) -> Classifier:
-    """From at most SAMPLE rows of each language and SAMPLE_ALL in all, chosen by a hash; only rows whose
-    crc32(doc_id as text) mod 5 isn't 0 and whose text and lang aren't null. A language's rows are counted first, and only those below a hash limit
-    that lets about two samples through are ordered."""
-    d = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0").where(F.length("text") <= SAMPLE_CHARS).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    """From at most SAMPLE rows of each language and SAMPLE_ALL in all, of any length, chosen by a hash until their
+    characters are enough; only rows whose crc32(doc_id as text) mod 5 isn't 0 and whose text and lang aren't null. A
+    language's rows are counted first, and only those below a hash limit that lets about two samples through are ordered."""
+    d = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     # by a uniform hash first, about two samples of each language, so that no language's rows meet in one task
-    count = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = count.select("lang", F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("count")).alias("share"))
+    langs = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * SAMPLE / r["count"])) for r in langs], "lang string, share double")
     pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
-    ids = pick.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE)
-    return Classifier([(r.text, r.lang) for r in ids.orderBy("n", "lang").limit(SAMPLE_ALL).collect() if LETTER.search(r.text)])
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = pick.withColumn("n", F.row_number().over(order)).withColumn("before", before).where(F.col("n") <= SAMPLE)
+    ids = ids.where(F.col("before") < min(SAMPLE_CHARS, SAMPLE_CHARS_ALL // max(1, len(langs))))
+    return Classifier([(r.text, r.lang) for r in ids.select("text", "lang", "n").orderBy("n", "lang").limit(SAMPLE_ALL).collect() if LETTER.search(r.text)])
 
 
 def identify(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -121,7 +125,8 @@ def identify(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; one pass, no join."""
+    """The rows of docs, all columns, whose text has a language; one pass, no join. If nothing could be learned, every
+    text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -129,7 +134,9 @@ def with_language(docs: DataFrame, model: Classifier) -> DataFrame:
         m = shared.value
         kernel = Kernel(m.landmarks) if m.langs else None
         for b in slices(batches, 64):
-            yield b.filter(pa.array([x != "und" for x, _ in m.predict(b.column(at).to_pylist(), kernel)], pa.bool_()))
+            text = b.column(at).to_pylist()
+            keep = [x != "und" for x, _ in m.predict(text, kernel)] if m.langs else [bool(t and LETTER.search(t)) for t in text]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -41,3 +41,17 @@ def test_kernel_equals_sets():
     for got in (k.rows(texts), k.rows(texts, 2)):
         want = [[len(f(a) & f(b)) / (len(f(a)) * len(f(b))) ** 0.5 for b in texts] for a in texts]
         assert np.allclose(got, want, atol=1e-6)
+
+
+def test_long_texts_are_learned(spark):
+    words = {"en": "the and of with that this over street", "de": "der und von mit dass diese über straße"}
+    d = spark.createDataFrame([(k, f"{words[lang]} " * 600, lang) for k, lang in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string")
+    assert d.where("length(text) <= 20000").count() == 0
+    model = language.fit(d)
+    assert model.langs == ["de", "en"]
+    assert all(r.lang_pred == ("en", "de")[r.doc_id % 2] for r in language.identify(d, model).collect())
+
+
+def test_documents_stay_if_nothing_is_learned(spark):
+    d = spark.createDataFrame([(1, "some text", None), (2, "12 $", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language.with_language(d, language.fit(d)).collect()] == [1]
