@@ -44,16 +44,53 @@ def test_strings_that_no_bit_tells_apart_are_split(spark):
     assert len(got) == 40 * 20 and hit > 0.95 * len(got)
 
 
-def test_ascent_orders_all_nodes_by_cost():
-    from pointweave.llm.neighbours import Forest
+def test_trie_levels_and_routes():
+    from pointweave.llm.neighbours import Forest, Tree
 
     r = np.random.default_rng(2)
-    x = r.standard_normal((500, 6))
+    x = r.standard_normal((700, 12))
+    x[200:260] = x[200]  # no symbol tells these apart
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = x[:9]
     f = Forest(x, 2, 4)
-    tree, code, cost = f.ascent(x[:9], 32)
-    assert all(len({*zip(t, c)}) == 32 for t, c in zip(tree.tolist(), code.tolist()))
-    few = f.ascent(x[:9], 5)
-    assert np.allclose(few[2], cost[:, :5]) and (np.diff(cost) >= 0).all()
-    for t in range(2):  # the query's own string costs nothing
-        own = (tree == t) & (code == f.codes(x[:9], t)[:, None])
-        assert (own.sum(1) == 1).all() and (cost[own] == 0).all()
+    for t in range(2):
+        z = x @ f.turn[t]
+        s = f.strings(x, t)
+        for n in (0, 5, 210):  # a string lists the axes from the longest on
+            axis = np.argsort(-np.abs(z[n]))[: f.symbols]
+            assert [int(f.symbol(s[n], k)) for k in range(f.symbols)] == [2 * a + (z[n, a] < 0) for a in axis]
+        block = np.searchsorted(f.edges[t], s, "right")
+        routed = f.routes(f.signed(q, t), t, 0.25)
+        for b in np.unique(block):
+            m = np.flatnonzero(block == b)
+            tree = Tree(f, t, s[m], m, x[m], 3)
+            assert tree.size.sum() == len(m) and ((tree.size <= 3) | (tree.node_depth == f.symbols)).all()
+            for i, c in tree.candidates(q, 0.25):
+                want = set()
+                for at, size, d in zip(tree.begin, tree.size, tree.node_depth):
+                    w = f.weight[:d]
+                    sym = [int(f.symbol(tree.strings[at], k)) for k in range(d)]
+                    level = sum(w[k] * f.signed(q, t)[i, sym[k]] for k in range(d)) / np.sqrt((w**2).sum())
+                    assert abs(level - 0.25) > 1e-6
+                    if level >= 0.25:
+                        want |= set(range(at, at + size))
+                assert set(c.tolist()) == want
+                assert routed[i, b] or not want  # a block that a query skips holds nothing for it
+
+
+def test_a_share_of_all_vectors_is_scored(spark):
+    """The forest decides at every size: below one node's worth, below one block, over several blocks."""
+    r = np.random.default_rng(4)
+    for n, block in ((30, 1 << 16), (3000, 1 << 16), (3000, 700)):
+        centre = r.standard_normal((40, 24))
+        x = centre[np.arange(n) % 40] + 0.3 * r.standard_normal((n, 24))
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        got = nearest(df, block=block).collect()
+        hit = sum(q.vec_id in set(np.argsort(-s[q.query_id], kind="stable")[:20]) for q in got)
+        asked = len(range(0, n, 20))
+        assert len(got) == 20 * asked and hit >= 0.9 * len(got)
+        if n == 3000:
+            scored = nearest(df, block=block, effort=True).toPandas().scored
+            assert scored.mean() < 0.4 * n, scored.mean()
