@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,12 +66,16 @@ def _table(f) -> np.ndarray:
 
 BLANK = _table(lambda i: i == 0x20 or 9 <= i <= 13)
 NOT_WORD = _table(lambda i: not (0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80))
+#: Bytes of the longest word that the polynomial serves.
+LONG = 64
 LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def hashed_words(text: bytes, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit polynomial hash of each word of an A-Z-lowered UTF-8 text; gap: bytes that end words."""
+    """Start, end and 64-bit hash of each word of an A-Z-lowered UTF-8 text; gap: bytes that end words. Words of up to
+    LONG bytes take a polynomial over random byte values, too short for the words that collide under any base
+    modulo 2**64 (those take 1,024 bytes); longer ones XXH64. Two of n distinct words collide with odds of n**2 / 2**65."""
     b = LOWER[np.frombuffer(text, np.uint8)]
     word = ~gap[b]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
@@ -80,4 +85,7 @@ def hashed_words(text: bytes, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.n
     power, inverse = _powers(len(b))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[b] * power, dtype=np.uint64)))
-        return start, end, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG):
+        h[k] = xxhash.xxh64_intdigest(b[start[k] : end[k]].tobytes(), 7)
+    return start, end, h

@@ -1,4 +1,10 @@
-"""License scans: phrases that stand word by word, and an exact set-similarity join of text blocks with templates."""
+"""License scans: phrases that stand word by word, and an exact set-similarity join of text blocks with templates.
+
+A block is a line, or any run of consecutive words (over line ends) of `SLACK` times a template's length. A template is
+met where a block holds a share THRESHOLD of its distinct words or more, its key words among them. Candidates come from
+prefixes: with a template's words in the order of their frequency over all documents, rarest first, any block that
+meets the threshold holds one of the first few. Only templates' words are counted, as no other word's place in that
+order matters."""
 
 from __future__ import annotations
 
@@ -11,17 +17,32 @@ from pyspark.sql import DataFrame, functions as F
 from .common import NOT_WORD, hashed_words, record_batch, slices, table
 
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Notices sought as sets of words in one line; a fixed parameter list of bounded size.
+#: Label, notice or licence text, words that a block must hold.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc nc"),
+    ("mit-notice", "Released under the MIT License", "mit"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "",
+    ),
+    (
+        "apache-header",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache",
+    ),
 )
-THRESHOLD = 0.8
+THRESHOLD, SLACK = 0.8, 1.25
 
 
 def words_of(text: str):
@@ -52,19 +73,24 @@ class Prefixes:
     """Templates as word sets ordered from the rarest word on, and the index of their prefixes."""
 
     def __init__(self, templates, frequency: dict[int, int], threshold: float):
-        self.sets, self.need, self.label, self.at = [], [], [], {}
-        for label, text in templates:
-            words = sorted({int(x) for x in words_of(text)[3].view(np.int64)}, key=lambda x: (frequency.get(x, 0), x))
+        self.sets, self.need, self.label, self.at, self.width, self.key = [], [], [], {}, [], []
+        for label, text, key in templates:
+            all_words = words_of(text)[3].view(np.int64).tolist()
+            words = sorted(set(all_words), key=lambda x: (frequency.get(x, 0), x))
+            if not words:
+                continue
             need = math.ceil(threshold * len(words) - 1e-9)
             for i, w in enumerate(words[: len(words) - need + 1]):
                 self.at.setdefault(w, []).append((len(self.sets), i))
             self.sets.append(words)
             self.need.append(need)
             self.label.append(label)
+            self.width.append(math.ceil(SLACK * len(all_words)))
+            self.key.append(set(words_of(key)[3].view(np.int64).tolist()))
         self.keys = np.array(sorted(self.at), np.int64)
-        self.order = {w: (frequency.get(w, 0), w) for s in self.sets for w in s}
 
-    def match(self, block: set[int]) -> list[tuple[str, float]]:
+    def match(self, block: set[int]) -> list[tuple[int, int]]:
+        """Templates that a block meets, with the number of their words in it."""
         found, seen = [], set()
         for w in block & self.at.keys():
             for k, i in self.at[w]:
@@ -77,18 +103,59 @@ class Prefixes:
                     continue
                 seen.add(k)
                 n = sum(x in block for x in words)
-                if n >= need:
-                    found.append((self.label[k], n / len(words)))
+                if n >= need and self.key[k] <= block:
+                    found.append((k, n))
+        return found
+
+    def runs(self, words: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
+        """Templates that some run of consecutive words meets, with the most words in one. Only runs around prefix
+        words (places `hit`) are looked at; there, all of them, by a window over the places of the template's words."""
+        zones: dict[int, list[list[int]]] = {}
+        for p, w in zip(hit.tolist(), words[hit].tolist()):
+            for k, _ in self.at[w]:
+                lo, hi = max(0, p - self.width[k] + 1), p + self.width[k]
+                z = zones.setdefault(k, [])
+                if z and lo <= z[-1][1]:
+                    z[-1][1] = hi
+                else:
+                    z.append([lo, hi])
+        found = []
+        for k, parts in zones.items():
+            of, best = set(self.sets[k]), 0
+            for lo, hi in parts:
+                part = words[lo:hi].tolist()
+                if len(of.intersection(part)) < self.need[k]:
+                    continue
+                at = [(n, w) for n, w in enumerate(part) if w in of]
+                inside: dict[int, int] = {}
+                first = 0
+                for n, w in at:
+                    inside[w] = inside.get(w, 0) + 1
+                    while at[first][0] <= n - self.width[k]:
+                        old = at[first][1]
+                        inside[old] -= 1
+                        if not inside[old]:
+                            del inside[old]
+                        first += 1
+                    if len(inside) > best and len(inside) >= self.need[k] and self.key[k] <= inside.keys():
+                        best = len(inside)
+            if best:
+                found.append((k, best))
         return found
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row.
 
-    A block is a line. score: the largest containment of a template met in a block, 0 if none reaches the threshold.
-    Null texts count as empty: no words, empty labels. Repeated rows stay; other columns are ignored."""
-    wanted = np.unique(np.concatenate([words_of(t)[3] for _, t in templates])).view(np.uint64)
-    freq = frequencies(docs, wanted)
+    templates: (label, text) or (label, text, key words), as a table of a size that every worker can hold, or a tuple.
+    score: the largest containment of a template met in a block, 0 if none is. Null texts count as empty: no words,
+    empty labels. Templates that tie give all their labels. Repeated rows stay; other columns are ignored."""
+    if isinstance(templates, DataFrame):
+        key = F.coalesce("key", F.lit("")) if "key" in templates.columns else F.lit("")
+        templates = [tuple(r) for r in templates.where("label is not null and text is not null").select("label", "text", key).collect()]
+    wanted = np.unique(np.concatenate([words_of(t)[3] for _, t, *_ in templates] or [np.zeros(0, np.uint64)]))
+    templates = [(*t, "")[:3] for t in templates]
+    freq = frequencies(docs, wanted) if len(wanted) else {}
     phrases = [(words_of(p)[3], label) for p, label in PHRASES]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
@@ -102,7 +169,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             if len(at):
                 base.add(label)
                 places.append(at)
-        labels, score = set(base), 0.0
+        labels, met = set(base), []
         signed = h.view(np.int64)
         hit = np.flatnonzero(np.isin(signed, prefixes.keys))
         if len(hit):
@@ -110,9 +177,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             line = np.searchsorted(ends, start)
             for n in np.unique(line[hit]):
                 lo, hi = np.searchsorted(line, n, "left"), np.searchsorted(line, n, "right")
-                for label, s in prefixes.match(set(signed[lo:hi].tolist())):
-                    labels.add(label)
-                    score = max(score, s)
+                met += prefixes.match(set(signed[lo:hi].tolist()))
+            met += prefixes.runs(signed, hit)
+        labels.update(prefixes.label[k] for k, _ in met)
+        score = max((n / len(prefixes.sets[k]) for k, n in met), default=0.0)
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         return doc_id, len(h), len(at), int(at.min()) if len(at) else None, int(at.max()) if len(at) else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

@@ -17,7 +17,7 @@ def test_against_brute_force(spark):
         best, labels = 0.0, set(base)
         for line in low(texts[r.doc_id]).split("\n"):
             b = set(word.findall(line))
-            for label, t in licenses.TEMPLATES:
+            for label, t, *_ in licenses.TEMPLATES:
                 s = set(word.findall(low(t)))
                 if len(b & s) / len(s) >= licenses.THRESHOLD:
                     labels.add(label)
@@ -27,3 +27,42 @@ def test_against_brute_force(spark):
         assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(labels)))
         assert abs(r.score - best) < 1e-12
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = licenses.TEMPLATES[7][1]
+
+
+def test_notices_over_line_ends(spark):
+    """Windows over line ends against brute force: every run of words of the allowed width."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    grant, bsd, mpl = (licenses.TEMPLATES[k][1] for k in (4, 5, 6))
+    texts = [wrap(grant, 9), f"x y z\n{wrap(bsd, 5)}\nmore", wrap(mpl, 4).replace("Form", "thing"), wrap(MIT, 11), "// " + wrap(MIT, 8).replace("\n", "\n// "), "released under the great\nlicense", "released under the\nMIT license", "RELEASED\nnot\nnot\nnot\nunder the mit license", grant[:60], "", None, " ".join(["Permission", "granted"] * 40) + wrap(grant, 3), "licensed under cc\nby nc 4 0 and cc by nc"]
+    r = __import__("random").Random(1)
+    words = " ".join(t for _, t, _ in licenses.TEMPLATES[:7]).split()
+    texts += ["\n".join(" ".join(r.choices(words, k=r.randrange(1, 9))) for _ in range(12)) for _ in range(60)]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for k, t in enumerate(texts):
+        low = (t or "").lower()
+        w = word.findall(low)
+        labels, best = set(), 0.0
+        for label, text, key in licenses.TEMPLATES:
+            all_words = word.findall(text.lower())
+            of, n = set(all_words), -(-5 * len(all_words) // 4)
+            blocks = [set(w[s : s + n]) for s in range(max(1, len(w) - n + 1))] + [set(word.findall(line)) for line in low.split("\n")]
+            top = max((len(of & b) / len(of) for b in blocks if set(key.split()) <= b), default=0)
+            if top >= licenses.THRESHOLD - 1e-12:
+                labels.add(label)
+                best = max(best, top)
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {' '.join(w)} "}
+        assert got[k].labels == ",".join(sorted(labels | base)) and abs(got[k].score - best) < 1e-12, t
+    assert "mit-grant" in got[0].labels and got[0].score == 1 and "mit-text" in got[3].labels and "mit-text" in got[4].labels
+    assert "mit-notice" not in got[5].labels and "mit-notice" in got[6].labels
+
+
+def test_templates_from_a_table(spark):
+    docs = spark.createDataFrame([(1, "ours is\nthe house licence of two"), (2, "nothing")], "doc_id long, text string")
+    own = spark.createDataFrame([("house", "the house licence", 1), (None, "x", 2), ("none", None, 3), ("blank", "--", 4)], "label string, text string, n int")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, own).collect()}
+    assert got == {1: ("house", 1.0), 2: ("", 0.0)}
+    assert [r.labels for r in licenses.scan(docs, own.where("false")).collect()] == ["", ""]
