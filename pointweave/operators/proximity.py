@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .components import components, numbered
+from .shared import cut
+
 XYZ = ("x", "y", "z")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        to = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(to if to is not None else os.path.join("/tmp", f"checkpoints-{uuid.uuid4().hex}"))
-    return df.checkpoint()
+def finite(df: DataFrame) -> DataFrame:
+    """Rows whose coordinates are all numbers; null, NaN and infinite ones are near nothing."""
+    ok = F.lit(True)
+    for a in XYZ:
+        ok &= F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) & (F.abs(F.col(a)) < float("inf"))
+    return df.where(ok)
 
 
 def _cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
@@ -28,28 +28,60 @@ def _cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
 
 def radius_join(queries: DataFrame, points: DataFrame, r: float) -> DataFrame:
     """(qid, pid, d2) of all points within r of each query, both ends included; inputs hold pid, x, y, z."""
-    q = _cells(queries.select(F.col("pid").alias("qid"), *XYZ), r, True).withColumnsRenamed({a: f"q{a}" for a in XYZ})
-    p = _cells(points.select("pid", *XYZ), r, False)
+    q = _cells(finite(queries.select(F.col("pid").alias("qid"), *XYZ)), r, True).withColumnsRenamed({a: f"q{a}" for a in XYZ})
+    p = _cells(finite(points.select("pid", *XYZ)), r, False)
     d2 = sum((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in XYZ)
     return q.join(p, "_cell").withColumn("d2", d2).where(F.col("d2") <= r * r).select("qid", "pid", "d2")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, r: float, others: bool = False, rounds: int = 40) -> DataFrame:
-    """(qid, rank, pid, d2): exact k nearest by (d2, pid). The radius doubles for queries that have too few yet;
-    others: the query's own pid doesn't count."""
-    total = points.count()
-    need = min(k, total - others)
-    left, parts = queries.select("pid", *XYZ), []
-    for turn in range(rounds):
-        near = radius_join(left, points, r * 2**turn)
+def radius_pairs(points: DataFrame, r: float) -> DataFrame:
+    """(a, b, d2): each pair of different points within r once, a < b. Half of the cells around a point are asked, so
+    a pair meets in one cell only."""
+    p = _cells(finite(points.select("pid", *XYZ)), r, False)
+    c = [F.col(f"_cell.{a}") for a in XYZ]
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    near = F.array(*(F.struct(F.struct(*((v + d).alias(a) for a, v, d in zip(XYZ, c, o))).alias("c"), F.lit(o == (0, 0, 0)).alias("own")) for o in half))
+    q = p.withColumn("_near", F.explode(near)).select(F.col("pid").alias("qid"), *(F.col(a).alias(f"q{a}") for a in XYZ), F.col("_near.c").alias("_cell"), F.col("_near.own").alias("_own"))
+    d2 = sum((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in XYZ)
+    both = q.join(p, "_cell").where("not _own or qid < pid").withColumn("d2", d2).where(F.col("d2") <= r * r)
+    return both.select(F.least("qid", "pid").alias("a"), F.greatest("qid", "pid").alias("b"), "d2")
+
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int, r: float | None = None, others: bool = False) -> DataFrame:
+    """(qid, rank, pid, d2): exact k nearest by (d2, pid); others: the query's own pid doesn't count. The first radius
+    is r, or that of a ball with 2 k points at the cloud's mean density; it doubles for queries that have too few yet,
+    up to the extent of both clouds, where every point is in reach. Rows with null, NaN or infinite coordinates are
+    near nothing: as queries they give no rows, as points they are never found."""
+    queries, points = (cut(finite(d.select("pid", *XYZ))) for d in (queries, points))
+    ends = [f(a).alias(f"{n}_{a}") for a in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    size, asked = points.agg(*ends, F.count("*").alias("n")).first(), queries.agg(*ends).first()
+    need = min(k, size.n)
+    if not need or asked[0] is None:
+        return queries.join(points.withColumnRenamed("pid", "other").select("other"), F.lit(False)).select(F.col("pid").alias("qid"), F.lit(0).alias("rank"), F.col("other").alias("pid"), F.lit(0.0).alias("d2"))
+    side = [float(max(size[f"hi_{a}"], asked[f"hi_{a}"]) - min(size[f"lo_{a}"], asked[f"lo_{a}"])) for a in XYZ]
+    far = max(abs(float(v)) for row in (asked, size[:-1]) for v in row if v is not None)
+    extent = sum(s * s for s in side) ** 0.5 * 1.001 + 1e-9 * far + 1e-9
+    if r is None:
+        wide = [s for s in side if s > 1e-3 * max(side)] or [extent]
+        r = (2 * k / size.n) ** (1 / len(wide))
+        for s in wide:
+            r *= s ** (1 / len(wide))
+    r = min(max(r, 1e-9 * far), extent)  # cell numbers stay far from a long's end
+    left, parts = queries, []
+    while True:
+        near = radius_join(left, points, r)
         near = near.where("qid != pid") if others else near
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))).where(F.col("rank") <= k)
-        ranked = cut(ranked)
-        done = ranked.groupBy("qid").count().where(F.col("count") >= need).select("qid")
-        parts.append(ranked.join(done, "qid", "left_semi"))
+        ranked = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))).where(F.col("rank") <= k))
+        if r >= extent:  # every point was in reach: what a query has is all there is
+            parts.append(ranked)
+            break
+        done = ranked.where(F.col("rank") == need).select("qid")
         left = cut(left.join(done, left.pid == done.qid, "left_anti"))
         if left.isEmpty():
+            parts.append(ranked)
             break
+        parts.append(ranked.join(done, "qid", "left_semi"))
+        r = min(2 * r, extent)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -62,7 +94,7 @@ def radius_outliers(points: DataFrame, r: float, least: int) -> DataFrame:
     return points.join(n, points.pid == n.qid, "left_semi")
 
 
-def statistical_outliers(points: DataFrame, k: int, ratio: float, r: float) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, r: float | None = None) -> DataFrame:
     """Keeps points whose mean distance to k neighbours is at most mean + ratio * population deviation."""
     m = cut(knn_join(points, points, k, r, others=True).groupBy("qid").agg(F.avg(F.sqrt("d2")).alias("mean_d")))
     t = m.agg((F.avg("mean_d") + ratio * F.stddev_pop("mean_d")).alias("limit"))
@@ -70,42 +102,32 @@ def statistical_outliers(points: DataFrame, k: int, ratio: float, r: float) -> D
     return points.join(kept.select(F.col("qid").alias("pid")), "pid", "left_semi")
 
 
-def _roots(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(pid, root) by minima of neighbours and pointer jumping, cut each round, until nothing changes."""
-    label = cut(nodes.select("pid", F.col("pid").alias("root")))
-    for _ in range(rounds):
-        low = edges.join(label, edges.b == label.pid).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(low, label.pid == low.a, "left").select("pid", "root", F.least("root", F.coalesce("m", "root")).alias("m"))
-        jump = label.select(F.col("pid").alias("m"), F.col("root").alias("up"))
-        new = cut(new.join(jump, "m").select("pid", F.col("root").alias("old"), F.least("m", "up").alias("root")))
-        if new.where("old != root").isEmpty():
-            return new.select("pid", "root")
-        label = new.select("pid", "root")
-    raise RuntimeError("labels did not settle")
-
-
 def euclidean_clusters(points: DataFrame, tolerance: float, least: int = 1, most: int = 1 << 62) -> DataFrame:
-    """(pid, label): dense ranks of ascending least ids among clusters of a fitting size; others -1."""
-    edges = cut(radius_join(points, points, tolerance).where("qid != pid").select(F.col("qid").alias("a"), F.col("pid").alias("b")))
-    root = cut(_roots(points, edges))
-    size = root.groupBy("root").count().where(F.col("count").between(least, most)).withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
+    """(pid, label): dense ranks of ascending least ids among clusters of a fitting size; others -1. Points without
+    finite coordinates are near nothing: clusters of one."""
+    found = components(radius_pairs(points, tolerance).select("a", "b"))
+    root = cut(points.select("pid").join(found, F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("root", "pid").alias("root")))
+    size = numbered(root.groupBy("root").count().where(F.col("count").between(least, most)).select("root"), "root", "label")
     return root.join(size, "root", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(pid, label): core points count themselves; a border point takes the lowest cluster that reaches it; noise -1."""
-    near = cut(radius_join(points, points, eps).select(F.col("qid").alias("a"), F.col("pid").alias("b")))
-    core = cut(near.groupBy("a").count().where(F.col("count") >= min_points).select(F.col("a").alias("pid")))
-    both = near.join(core.withColumnRenamed("pid", "a"), "a", "left_semi").join(core.withColumnRenamed("pid", "b"), "b", "left_semi").where("a != b").select("a", "b")
-    root = _roots(core, cut(both))
-    ids = root.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)
-    named = cut(root.join(ids, "root").select("pid", "label"))
-    border = near.join(named, near.b == named.pid).groupBy("a").agg(F.min("label").alias("reached"))
-    full = points.select("pid").join(named, "pid", "left").join(border, F.col("pid") == F.col("a"), "left")
+    pairs = cut(radius_pairs(points, eps).select("a", "b"))
+    both = pairs.select(F.col("a").alias("pid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("pid"), F.col("a").alias("other")))
+    n = points.select("pid").join(both.groupBy("pid").count(), "pid", "left").withColumn("n", F.coalesce("count", F.lit(0)) + 1)
+    core = cut(n.where(F.col("n") >= min_points).select("pid"))
+    links = pairs.join(core.withColumnRenamed("pid", "a"), "a", "left_semi").join(core.withColumnRenamed("pid", "b"), "b", "left_semi")
+    found = components(links)
+    root = core.join(found, F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("root", "pid").alias("root"))
+    root = cut(root)
+    named = cut(root.join(numbered(root.select("root").distinct(), "root", "label"), "root").select("pid", "label"))
+    border = both.join(named.withColumnRenamed("pid", "other"), "other").groupBy("pid").agg(F.min("label").alias("reached"))
+    full = points.select("pid").join(named, "pid", "left").join(border, "pid", "left")
     return full.select("pid", F.coalesce("label", "reached", F.lit(-1)).cast("int").alias("label"))
 
 
-def chamfer(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
+def chamfer(a: DataFrame, b: DataFrame, r: float | None = None) -> DataFrame:
     """Mean squared distances to the nearest other point, both ways, and their sum; hausdorff: the largest distance."""
     ab, ba = (knn_join(p, q, 1, r).agg(F.avg("d2").alias(f"{n}_mean"), F.sqrt(F.max("d2")).alias(f"{n}_max")) for n, p, q in (("ab", a, b), ("ba", b, a)))
     return ab.join(F.broadcast(ba)).select("ab_mean", "ba_mean", (F.col("ab_mean") + F.col("ba_mean")).alias("chamfer"), F.greatest("ab_max", "ba_max").alias("hausdorff"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.robust import compose, inverse, turned
-from .proximity import cut
+from .shared import cut
 from .timeline import nearest_in_time
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .shared import cut
+
 
 def nearest_in_time(primary: DataFrame, other: DataFrame, gap_ns: int) -> DataFrame:
     """For each primary row (id, ts_ns) the nearest other row within gap_ns; equal gaps: the earlier one. A time-bucket
@@ -21,10 +23,23 @@ def deltas(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def subsample(df: DataFrame, key: str, order: str, step: int) -> DataFrame:
-    """Every step-th row of each key, from the first on."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).where(F.col("n") % step == 0)
-
-
-def spans(records: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Records within closed annotation spans (few annotations: a broadcast range join is left to the optimiser)."""
-    return records.join(annotations, F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns")))
+    """Every step-th row of each key, from the first on; places (column n) are counted within ranges of (key, order)
+    and offset by what the ranges before hold of the key, so that a key with a third of all rows is spread."""
+    part = cut(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    held = part.groupBy("_part", key).count()
+    before = F.sum("count").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = held.select("_part", F.col(key).alias("_key"), F.coalesce(before, F.lit(0)).alias("_base"))
+    n = part.withColumn("_n", F.row_number().over(Window.partitionBy("_part", key).orderBy(order)) - 1)
+    out = n.join(F.broadcast(base), (n["_part"] == base["_part"]) & n[key].eqNullSafe(base["_key"])).withColumn("n", F.col("_n") + F.col("_base"))
+    return out.where(F.col("n") % step == 0).select(*df.columns, "n")
+
+
+def spans(records: DataFrame, annotations: DataFrame, bucket_ns: int | None = None) -> DataFrame:
+    """Records (ts_ns) within closed annotation spans (start_ns, end_ns): an equi-join on the time buckets a span
+    touches, as wide as the mean span unless stated; a span that ends before it starts holds nothing."""
+    if bucket_ns is None:
+        mean = annotations.agg(F.avg(F.col("end_ns") - F.col("start_ns"))).first()[0]
+        bucket_ns = max(1, int(mean or 1))
+    to = lambda c: F.floor(F.col(c) / bucket_ns)
+    a = annotations.where("start_ns <= end_ns").withColumn("_b", F.explode(F.sequence(to("start_ns"), to("end_ns"))))
+    return records.withColumn("_b", to("ts_ns")).join(a, "_b").where(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns"))).drop("_b")

@@ -12,7 +12,7 @@ H, W = 52, 20
 
 
 def exposures(s, d):
-    p = read(s, d, "part").where("p_partkey < 1500")
+    p = read(s, d, "part")
     return p.selectExpr("p_partkey % 3 as image_id", "cast(cast(p_partkey / 3 as int) div 20 as int) as y", "cast(p_partkey / 3 as int) % 20 as x", "p_partkey * 7 % 256 as r", "p_partkey * 13 % 256 as g", "p_size * 5 as b")
 
 
@@ -48,5 +48,5 @@ SQL = {
     "pyramid_down": f"SELECT image_id, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, round(sum(v * {_FIVE.format('dy')} * {_FIVE.format('dx')} / 256), 6) AS v FROM {_near('-2, 3', *_MIRROR)} WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY image_id, y, x",
     "filter2d_constant": f"SELECT image_id, y, x, sum(v * -dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END) + 3 AS v FROM {_near('-1, 2', *_NONE, '9.0::DOUBLE')} GROUP BY 1, 2, 3",
     "crop_image": f"SELECT image_id, y - 10 AS y, x - 4 AS x, v FROM {PIX} WHERE y BETWEEN 10 AND 29 AND x BETWEEN 4 AND 15",
-    "exposure_fusion": f"SELECT y, x, CAST(round(sum(r * w) / sum(w)) AS INTEGER) AS r, CAST(round(sum(g * w) / sum(w)) AS INTEGER) AS g, CAST(round(sum(b * w) / sum(w)) AS INTEGER) AS b FROM (SELECT *, {_LIGHT} AS w FROM (SELECT CAST(floor(p_partkey / 3) AS INTEGER) // 20 AS y, CAST(floor(p_partkey / 3) AS INTEGER) % 20 AS x, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 AS b FROM part WHERE p_partkey < 1500)) GROUP BY 1, 2",
+    "exposure_fusion": f"SELECT y, x, CAST(round(sum(r * w) / sum(w)) AS INTEGER) AS r, CAST(round(sum(g * w) / sum(w)) AS INTEGER) AS g, CAST(round(sum(b * w) / sum(w)) AS INTEGER) AS b FROM (SELECT *, {_LIGHT} AS w FROM (SELECT CAST(floor(p_partkey / 3) AS INTEGER) // 20 AS y, CAST(floor(p_partkey / 3) AS INTEGER) % 20 AS x, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 AS b FROM part)) GROUP BY 1, 2",
 }

@@ -18,10 +18,8 @@ QUERY = [((k * 37) % 11 - 5) / 10 for k in range(64)]
 
 
 def box_overlap(s, d):
-    b = detections(s, d).select("image_id", "class_id", "id", F.struct("x0", "y0", "x1", "y1").alias("box"))
-    p = b.withColumnsRenamed({"id": "a_id", "box": "a"}).join(b.withColumnsRenamed({"id": "b_id", "box": "b"}), ["image_id", "class_id"]).where("a_id < b_id")
     iou, giou = boxes.overlap()
-    return p.select("a_id", "b_id", F.round(iou, 4).alias("iou"), F.round(giou, 4).alias("giou")).where("iou > 0.3")
+    return boxes.overlapping(detections(s, d), 16.0).select("a_id", "b_id", F.round(iou, 4).alias("iou"), F.round(giou, 4).alias("giou")).where("iou > 0.3")
 
 
 def ent(s, d):
@@ -43,7 +41,7 @@ def interpolated(s, d):
 QUERIES = {
     "box_overlap": box_overlap,
     "box_clip": lambda s, d: boxes.clip(detections(s, d), 45, 30).select("id", "x0", "y0", "x1", "y1"),
-    "batched_nms": lambda s, d: boxes.batched_nms(detections(s, d), 20.0, 0.4).select("image_id", "class_id", "id"),
+    "batched_nms": lambda s, d: boxes.batched_nms(detections(s, d), 20.0, 0.4).select("image_id", "class_id", "id", "place"),
     "semantic_search": lambda s, d: rounded(entities.semantic_search(ent(s, d), QUERY, 10), "score"),
     "cosine_similarity": lambda s, d: ent(s, d).select("id", F.round(entities.cosine(F.col("embedding"), F.array(*map(F.lit, QUERY))), 4).alias("cosine")),
     "stage_stats": lambda s, d: rounded(entities.stage_stats(stamped(s, d), "topic", "value"), "median", "mean", "std", "cv"),
@@ -52,7 +50,7 @@ QUERIES = {
     "loop_closures": lambda s, d: proximity.radius_join(cloud_cust(s, d), cloud_cust(s, d), 2.0).where("qid < pid").select(F.col("qid").alias("a"), F.col("pid").alias("b")),
     "radius_count": lambda s, d: proximity.radius_join(cloud_cust(s, d), cloud_cust(s, d), 3.0).groupBy("qid").agg(F.count("*").alias("n")),
     "replay_order": lambda s, d: stamped(s, d).select("id", F.row_number().over(Window.partitionBy(F.floor(F.col("ts_ns") / 86_400_000_000_000)).orderBy("ts_ns", "topic", "id")).alias("ord")),
-    "annotation_spans": lambda s, d: timeline.spans(stamped(s, d), stamped(s, d).where("topic = 'purchase' and id % 50 = 0").selectExpr("id as span", "ts_ns as start_ns", "ts_ns + 1800000000000 as end_ns")).select("span", "id"),
+    "annotation_spans": lambda s, d: timeline.spans(stamped(s, d), stamped(s, d).where("topic = 'purchase'").selectExpr("id as span", "ts_ns as start_ns", "ts_ns + 1800000000000 as end_ns")).select("span", "id"),
     "trajectory_interpolation": interpolated,
     "topic_inventory": lambda s, d: stamped(s, d).groupBy("topic").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")),
     "keyset_page": lambda s, d: stamped(s, d).where("id > 100").orderBy("id").limit(20).select("id", "topic"),
@@ -69,6 +67,13 @@ SQL = {
 l AS (SELECT c.id, max_by(p.value, p.ts_ns) AS v, max(p.ts_ns) AS t FROM c JOIN p ON c.user_id = p.user_id AND p.ts_ns <= c.ts_ns GROUP BY c.id), r AS (SELECT c.id, min_by(p.value, p.ts_ns) AS v, min(p.ts_ns) AS t FROM c JOIN p ON c.user_id = p.user_id AND p.ts_ns >= c.ts_ns GROUP BY c.id)
 SELECT c.id, round(CASE WHEN l.v IS NULL THEN r.v WHEN r.v IS NULL THEN l.v ELSE l.v + (c.ts_ns - l.t)::DOUBLE / (r.t - l.t) * (r.v - l.v) END, 4) AS value FROM c LEFT JOIN l ON c.id = l.id LEFT JOIN r ON c.id = r.id""",
     "box_overlap": f"WITH p AS (SELECT a.id AS a_id, b.id AS b_id, {_COMMON} AS c, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_COMMON} AS u, (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS h FROM {DET} a JOIN {DET} b USING (image_id, class_id) WHERE a.id < b.id) SELECT a_id, b_id, round(c / u, 4) AS iou, round(c / u - (h - u) / h, 4) AS giou FROM p WHERE round(c / u, 4) > 0.3",
+    "batched_nms": f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, id) AS n FROM {DET} WHERE score >= 20),
+r AS (SELECT image_id, class_id, n, [struct_pack(id := id, score := score, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] AS kept FROM d WHERE n = 1
+UNION ALL SELECT b.image_id, b.class_id, b.n, CASE WHEN len(list_filter(r.kept, lambda a: (greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)))
+ / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) > 0.4)) > 0
+ THEN r.kept ELSE list_append(r.kept, struct_pack(id := b.id, score := b.score, x0 := b.x0, y0 := b.y0, x1 := b.x1, y1 := b.y1)) END FROM r JOIN d b ON b.image_id = r.image_id AND b.class_id = r.class_id AND b.n = r.n + 1),
+k AS (SELECT image_id, class_id, unnest(kept) AS b FROM r QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY n DESC) = 1)
+SELECT image_id, class_id, b.id AS id, row_number() OVER (ORDER BY b.score DESC, b.id) - 1 AS place FROM k""",
     "box_clip": f"SELECT id, greatest(0, least(x0, 45)) AS x0, greatest(0, least(y0, 30)) AS y0, greatest(0, least(x1, 45)) AS x1, greatest(0, least(y1, 30)) AS y1 FROM {DET}",
     "semantic_search": f"SELECT vec_id AS id, round(0.7 * ({_DOT}) + 0.3 * (label / 10.0), 4) AS score FROM embeddings ORDER BY 0.7 * ({_DOT}) + 0.3 * (label / 10.0) DESC, id LIMIT 10",
     "cosine_similarity": f"SELECT vec_id AS id, round({_DOT}, 4) AS cosine FROM embeddings",
@@ -78,7 +83,7 @@ SELECT c.id, round(CASE WHEN l.v IS NULL THEN r.v WHEN r.v IS NULL THEN l.v ELSE
     "loop_closures": f"SELECT a.pid AS a, b.pid AS b FROM {CUST} a JOIN {CUST} b ON a.pid < b.pid WHERE {_D2} <= 4",
     "radius_count": f"SELECT a.pid AS qid, count(*) AS n FROM {CUST} a, {CUST} b WHERE {_D2} <= 9 GROUP BY 1",
     "replay_order": f"SELECT id, CAST(row_number() OVER (PARTITION BY ts_ns // 86400000000000 ORDER BY ts_ns, topic, id) AS INT) AS ord FROM {EVENTS}",
-    "annotation_spans": f"SELECT a.id AS span, e.id AS id FROM {EVENTS} e JOIN {EVENTS} a ON a.topic = 'purchase' AND a.id % 50 = 0 AND e.ts_ns BETWEEN a.ts_ns AND a.ts_ns + 1800000000000",
+    "annotation_spans": f"SELECT a.id AS span, e.id AS id FROM {EVENTS} e JOIN {EVENTS} a ON a.topic = 'purchase' AND e.ts_ns BETWEEN a.ts_ns AND a.ts_ns + 1800000000000",
     "topic_inventory": f"SELECT topic, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM {EVENTS} GROUP BY 1",
     "keyset_page": f"SELECT id, topic FROM {EVENTS} WHERE id > 100 ORDER BY id LIMIT 20",
     "frame_inventory": "SELECT 'n' || n_nationkey AS frame FROM nation UNION SELECT 'r' || n_regionkey FROM nation",

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import geometry, grids, images
+from ..operators.shared import shared_folder
 from ..sources import clouds
 from ..streaming import flows
 from .spatial import CUST, PART, cloud_cust, cloud_part, read, rounded
@@ -28,7 +29,7 @@ def moved(s, d):
 
 
 def folder(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/pointweave"
+    base = shared_folder(s)
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -95,7 +96,7 @@ QUERIES = {
     "multi_plane": lambda s, d: geometry.multi_plane(cloud_part(s, d), 2.0, 2, 10).groupBy("label").agg(F.count("*").alias("n")),
     "icp": aligned,
     "farthest_points": lambda s, d: geometry.farthest_points(cloud_cust(s, d), 8, 1),
-    "descriptor_matches": lambda s, d: rounded(geometry.descriptor_matches(read(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id as id", "embedding as values"), read(s, d, "embeddings").where("vec_id % 50 != 0").selectExpr("vec_id as id", "embedding as values"), 1.0), "distance"),
+    "descriptor_matches": lambda s, d: rounded(geometry.descriptor_matches(read(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id as id", "embedding as values"), read(s, d, "embeddings").selectExpr("vec_id as id", "embedding as values"), 1.0, others=True), "distance"),
     "image_gradient": lambda s, d: images.gradient(pixels(s, d)),
     "image_box_blur": lambda s, d: rounded(images.box_blur(pixels(s, d), 3), "v"),
     "image_gaussian_blur": lambda s, d: rounded(images.gaussian_blur(pixels(s, d), 5, 1.2), "v"),
@@ -133,7 +134,7 @@ _R = "sqrt(x * x + y * y + z * z)"
 _MOVED = f"(SELECT pid, x - 0.01 * y + 0.2 AS x, y + 0.01 * x - 0.1 AS y, z + 0.05 AS z FROM {PART})"
 SQL = {
     "range_image": f"WITH p AS (SELECT atan2(y, x) AS az, asin(z / {_R}) AS el, {_R} AS r FROM {CUST} WHERE {_R} >= 1e-6), k AS (SELECT CAST(floor((0.6 - el) / 1.2 * 16) AS BIGINT) AS row, CAST(floor((az + pi()) / (2 * pi()) * 64) AS BIGINT) AS col, r FROM p) SELECT row, col, round(min(r), 4) AS range FROM k WHERE row BETWEEN 0 AND 15 AND col BETWEEN 0 AND 63 GROUP BY 1, 2",
-    "descriptor_matches": "SELECT a.vec_id AS qid, arg_min(b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS tid, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY 1",
+    "descriptor_matches": "SELECT a.vec_id AS qid, arg_min(b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS tid, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id GROUP BY 1",
     "image_gradient": f"SELECT a.image_id AS image_id, a.y AS y, a.x AS x, CAST(sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y))) AS DOUBLE) AS dx, CAST(sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x))) AS DOUBLE) AS dy {_NEAR}",
     "image_box_blur": f"SELECT a.image_id AS image_id, a.y AS y, a.x AS x, round(sum(b.v) / 9, 4) AS v {_NEAR}",
     "image_erode": _ERODED,

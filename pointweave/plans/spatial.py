@@ -53,12 +53,12 @@ QUERIES = {
     "ndt_cells": lambda s, d: (lambda c: rounded(c.where("n >= 3"), *(x for x in c.columns if x[:3] in ("cov", "mea"))))(grids.covariance(grids.voxel_keys(cloud_part(s, d), 20.0, (0, 0, 0)), ("ix", "iy", "iz"))),
     "histogram": lambda s, d: grids.histogram(stamped(s, d), "value", 0, 500, 16),
     "radius_join": lambda s, d: rounded(proximity.radius_join(cloud_cust(s, d), cloud_cust(s, d), 3.0), "d2"),
-    "knn_join": lambda s, d: rounded(proximity.knn_join(cloud_cust(s, d), cloud_cust(s, d), 4, 4.0, True), "d2").select("qid", "rank", "d2"),
+    "knn_join": lambda s, d: rounded(proximity.knn_join(cloud_cust(s, d), cloud_cust(s, d), 4, others=True), "d2").select("qid", "rank", "d2"),
     "radius_outliers": lambda s, d: proximity.radius_outliers(cloud_cust(s, d), 3.0, 4).select("pid"),
-    "statistical_outliers": lambda s, d: proximity.statistical_outliers(cloud_cust(s, d), 4, 1.0, 4.0).select("pid"),
+    "statistical_outliers": lambda s, d: proximity.statistical_outliers(cloud_cust(s, d), 4, 1.0).select("pid"),
     "euclidean_clusters": lambda s, d: proximity.euclidean_clusters(cloud_cust(s, d), 2.0),
     "dbscan": lambda s, d: proximity.dbscan(cloud_cust(s, d), 3.0, 6),
-    "chamfer_hausdorff": lambda s, d: rounded(proximity.chamfer(cloud_cust(s, d), cloud_part(s, d), 8.0), "ab_mean", "ba_mean", "chamfer", "hausdorff"),
+    "chamfer_hausdorff": lambda s, d: rounded(proximity.chamfer(cloud_cust(s, d), cloud_part(s, d)), "ab_mean", "ba_mean", "chamfer", "hausdorff"),
     "nearest_in_time": lambda s, d: (lambda e: timeline.nearest_in_time(e.where("topic = 'click'"), e.where("topic = 'purchase'"), 3_600_000_000_000))(stamped(s, d)),
     "odometry_deltas": lambda s, d: rounded(timeline.deltas(stamped(s, d), "user_id", "ts_ns", "value").select("id", "dt", "dv"), "dv"),
     "temporal_subsample": lambda s, d: timeline.subsample(stamped(s, d), "topic", "ts_ns", 7).select("id", "topic", "n"),
@@ -69,7 +69,14 @@ _BOX = "x BETWEEN 10 AND 40 AND y BETWEEN 20 AND 90 AND z BETWEEN 2 AND 12"
 _KEY = "CAST(floor(x / {0}) AS BIGINT) AS ix, CAST(floor(y / {0}) AS BIGINT) AS iy, CAST(floor(z / {0}) AS BIGINT) AS iz"
 _NEAR = f"SELECT a.pid AS qid, b.pid AS pid, {_D2} AS d2 FROM {CUST} a, {CUST} b WHERE {_D2} <= "
 _KNN = f"SELECT qid, rank, d2 FROM (SELECT a.pid AS qid, {_D2} AS d2, CAST(row_number() OVER (PARTITION BY a.pid ORDER BY {_D2}, b.pid) AS INT) AS rank FROM {CUST} a, {CUST} b WHERE a.pid <> b.pid) WHERE rank <= 4"
+_REACH = f"""WITH RECURSIVE near AS (SELECT a.pid AS a, b.pid AS b FROM {CUST} a, {CUST} b WHERE {_D2} <= {{0}}), core AS ({{1}}),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT pid FROM core) AND b IN (SELECT pid FROM core)),
+reach(a, b) AS (SELECT pid, pid FROM core UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+named AS (SELECT a AS pid, dense_rank() OVER (ORDER BY min(b)) - 1 AS label FROM reach GROUP BY a)"""
 SQL = {
+    "euclidean_clusters": _REACH.format(4, f"SELECT pid FROM {CUST}") + " SELECT pid, CAST(label AS INT) AS label FROM named",
+    "dbscan": _REACH.format(9, "SELECT a AS pid FROM near GROUP BY a HAVING count(*) >= 6")
+    + f" SELECT c.pid, CAST(coalesce(any_value(own.label), min(other.label), -1) AS INT) AS label FROM {CUST} c LEFT JOIN named own ON own.pid = c.pid LEFT JOIN near ON near.a = c.pid LEFT JOIN named other ON other.pid = near.b GROUP BY c.pid",
     "integral_image": "WITH p AS (SELECT p_partkey % 3 AS image_id, p_size AS y, p_partkey % 20 AS x, count(*) AS v FROM part GROUP BY 1, 2, 3), r AS (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x) AS r FROM p) SELECT image_id, y, x, v, CAST(sum(r) OVER (PARTITION BY image_id, x ORDER BY y) AS BIGINT) AS s FROM r",
     "chamfer_hausdorff": f"WITH d AS (SELECT a.pid AS i, b.pid AS j, power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) AS d2 FROM {CUST} a, {PART} b), p AS (SELECT min(d2) AS m FROM d GROUP BY i), q AS (SELECT min(d2) AS m FROM d GROUP BY j) SELECT round((SELECT avg(m) FROM p), 4) AS ab_mean, round((SELECT avg(m) FROM q), 4) AS ba_mean, round((SELECT avg(m) FROM p) + (SELECT avg(m) FROM q), 4) AS chamfer, round(sqrt(greatest((SELECT max(m) FROM p), (SELECT max(m) FROM q))), 4) AS hausdorff",
     "voxel_centroid": f"WITH k AS (SELECT *, {_KEY.format('4.0')} FROM {LI}) SELECT ix, iy, iz, count(*) AS n, round(avg(x), 8) AS x, round(avg(y), 8) AS y, round(avg(z), 8) AS z, round(avg(intensity), 8) AS intensity FROM k GROUP BY ix, iy, iz",

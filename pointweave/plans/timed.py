@@ -127,6 +127,7 @@ QUERIES = {
     "health_counts": health,
     "semantic_summary": lambda s, d: rounded(records.semantic_summary(read(s, d, "embeddings").selectExpr("vec_id / 1000 as confidence", "if(label = 3, null, label) as class_id")), "coverage", "mean", "p95"),
     "largest_payload": lambda s, d: read(s, d, "events").groupBy(F.col("event_type").alias("topic")).agg(F.max(F.octet_length("props")).alias("most")),
+    # the first so many messages of a topic are what the operator is asked for
     "transform_list": lambda s, d: stamped(s, d).where("topic = 'view'").orderBy("ts_ns", "id").limit(25).select("id", "ts_ns"),
     "rgb_to_hsv": as_hsv,
     "white_balance": lambda s, d: colour.white_balance(coloured(s, d)).select("id", "r", "g", "b"),
