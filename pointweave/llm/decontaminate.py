@@ -46,12 +46,12 @@ def _seed(h: np.ndarray, mask: str) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, len(mask), np.uint64)
+    out = np.full(n, 0x9E3779B97F4A7C15 * (ALL.index(mask) + 1) & (1 << 64) - 1, np.uint64)
     with np.errstate(over="ignore"):
         for k, c in enumerate(mask):
             if c == "1":
                 out += h[k : k + n] * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-        return mix(mix(out) + np.uint64(ALL.index(mask)))
+        return mix(out)
 
 
 def _contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -60,26 +60,38 @@ def _contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return room[at[:, None] + np.arange(WIDE)]
 
 
+def masks_of(words: int) -> tuple[str, ...]:
+    """Masks that serve an item of so many words."""
+    return MASKS[max(n for n in MASKS if n <= words)] if words else ()
+
+
 def postings(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of an item's words and their contexts."""
-    served = max((n for n in MASKS if n <= len(h)), default=None)
-    if served is None:
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros((0, WIDE), np.uint64)
-    seeds = [_seed(h, m) for m in MASKS[served]]
+    seeds = [_seed(h, m) for m in masks_of(len(h))]
     return np.concatenate(seeds), np.concatenate([_contexts(h, np.arange(len(s))) for s in seeds])
 
 
 class Filter:
-    """Blocked Bloom filter: three bits of one 64-bit word for each seed."""
+    """Blocked Bloom filter: three bits of one 64-bit word for each seed; the number of words is a power of two."""
 
     def __init__(self, words: np.ndarray, masks: list[str]):
         self.words, self.masks = words, masks
 
     @staticmethod
-    def place(seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def size(seeds: int) -> int:
+        """Words for so many seeds."""
+        return 1 << max(4, min(BITS, BITS_EACH * seeds) // 64).bit_length() - 1
+
+    @staticmethod
+    def word(seeds: np.ndarray, size: int) -> np.ndarray:
+        return (seeds >> np.uint64(18) & np.uint64(size - 1)).astype(np.int64)
+
+    @staticmethod
+    def bits(seeds: np.ndarray) -> np.ndarray:
         one = np.uint64(1)
-        bits = one << (seeds & np.uint64(63)) | one << (seeds >> np.uint64(6) & np.uint64(63)) | one << (seeds >> np.uint64(12) & np.uint64(63))
-        return (seeds >> np.uint64(18)) % np.uint64(size), bits
+        return one << (seeds & np.uint64(63)) | one << (seeds >> np.uint64(6) & np.uint64(63)) | one << (seeds >> np.uint64(12) & np.uint64(63))
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Seeds of a text that pass, and where they stand."""
@@ -89,8 +101,10 @@ class Filter:
                 continue
             s = _seed(h, m)
             if len(s):
-                at, bits = self.place(s, len(self.words))
-                ok = np.flatnonzero(self.words[at] & bits == bits)
+                held = self.words[self.word(s, len(self.words))]
+                ok = np.flatnonzero(held >> (s & np.uint64(63)) & np.uint64(1))  # one bit first, the others of few
+                bits = self.bits(s[ok])
+                ok = ok[held[ok] & bits == bits]
                 seeds.append(s[ok])
                 places.append(ok)
         return (np.concatenate(seeds), np.concatenate(places)) if seeds else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -120,10 +134,9 @@ class Index:
         self.seeds, self.contexts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         self.of = np.repeat(np.arange(len(items)), [len(f[0]) for f in found])
         self.size = np.array([min(WINDOW, len(h)) for h in words])[self.of]
-        bloom = np.zeros(max(1, BITS_EACH * len(self.seeds) // 64), np.uint64)
-        at, bits = Filter.place(self.seeds, len(bloom))
-        np.bitwise_or.at(bloom, at, bits)
-        self.filter, self.order = Filter(bloom, ALL), np.argsort(self.seeds, kind="stable")
+        bloom = np.zeros(Filter.size(len(self.seeds)), np.uint64)
+        np.bitwise_or.at(bloom, Filter.word(self.seeds, len(bloom)), Filter.bits(self.seeds))
+        self.filter, self.order = Filter(bloom, sorted({m for h in words for m in masks_of(len(h))})), np.argsort(self.seeds, kind="stable")
 
     def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """item index -> (matching words, first word, end word) of its best verified window."""
@@ -139,9 +152,9 @@ class Index:
         return out
 
 
-def _test_side(bench: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seed, ctx, words, size) with one row for equal contexts of one seed, and (ctx, item_id)."""
-    schema = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("words", pa.binary()), ("size", pa.int32()), ("item_id", pa.int64())])
+def _test_side(bench: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(seed, ctx, words, size) with one row for equal contexts of one seed; (ctx, item_id); the masks that items use."""
+    schema = pa.schema([("served", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("words", pa.binary()), ("size", pa.int32()), ("item_id", pa.int64())])
 
     def run(batches):
         for b in slices(batches, 64):
@@ -154,34 +167,36 @@ def _test_side(bench: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for at in range(0, len(s), 4096):
                     e = slice(at, at + 4096)
                     n = len(s[e])
-                    yield record_batch(schema, [s[e].view(np.int64), ctx[e].view(np.int64), raw[e], np.full(n, size, np.int32), np.full(n, i, np.int64)])
+                    yield record_batch(schema, [np.full(n, len(h), np.int32), s[e].view(np.int64), ctx[e].view(np.int64), raw[e], np.full(n, size, np.int32), np.full(n, i, np.int64)])
 
     bench = bench.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null and item_id is not null")
-    rows = cut(bench.mapInArrow(run, "seed long, ctx long, words binary, size int, item_id long"))
-    return rows.groupBy("seed", "ctx").agg(F.first("words").alias("words"), F.first("size").alias("size")), rows.select("ctx", "item_id").distinct()
+    rows = cut(bench.mapInArrow(run, "served int, seed long, ctx long, words binary, size int, item_id long"))
+    longest = max(MASKS)
+    masks = {m for r in rows.select(F.least("served", F.lit(longest)).alias("n")).distinct().collect() for m in masks_of(r.n)}
+    return rows.groupBy("seed", "ctx").agg(F.first("words").alias("words"), F.first("size").alias("size")), rows.select("ctx", "item_id").distinct(), sorted(masks)
 
 
-def _filter(seeds: DataFrame) -> Filter:
+def _filter(seeds: DataFrame, masks: list[str]) -> Filter:
     """Words of the filter are summed up in Spark; what comes to the driver has at most BITS bits, twice."""
     n = seeds.select("seed").distinct().count()
-    size = max(16, min(BITS, BITS_EACH * n) // 64)
+    size = Filter.size(n)
     schema = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
     def run(batches):
         for b in batches:
-            at, bits = Filter.place(b.column(0).to_numpy().view(np.uint64), size)
-            yield record_batch(schema, [at.astype(np.int64), bits.view(np.int64)])
+            s = b.column(0).to_numpy().view(np.uint64)
+            yield record_batch(schema, [Filter.word(s, size), Filter.bits(s).view(np.int64)])
 
     got = seeds.select("seed").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size, np.uint64)
     words[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return Filter(words, ALL)
+    return Filter(words, masks)
 
 
 def _hits(docs: DataFrame, bench: DataFrame, key: list[str]) -> DataFrame:
     """(key columns, item_id, first_word, end_word): verified windows of docs. docs: the key columns, then the text."""
-    seeds, items = _test_side(bench)
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
+    seeds, items, masks = _test_side(bench)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds, masks))
     schema = pa.schema([*((c, pa.int64()) for c in key), ("seed", pa.int64()), ("at", pa.int64()), ("mine", pa.binary())])
 
     def find(batches):
