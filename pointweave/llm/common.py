@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import cut  # noqa: F401  (the corpus operators' own name for it)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder all executors share (spark.checkpoint.dir); a test session gets its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        to = spark.conf.get("spark.checkpoint.dir", None)
-        if to is None:
-            to = os.path.join("/tmp", f"checkpoints-{uuid.uuid4().hex}")
-        spark.sparkContext.setCheckpointDir(to)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches, rows: int = 256):
     """Record batches in slices of few rows, so that Python holds few texts at once."""
     for b in batches:

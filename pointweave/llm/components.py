@@ -1,28 +1,3 @@
-"""Connected components of a distributed edge list."""
+"""Connected components of a distributed edge list: the library's own, under the name the corpus operators use."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-from .common import cut
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a long, b long) -> (node, root): the smallest node reachable. Large-star and small-star rounds until
-    nothing changes; each round is cut in the shared folder, minima are combined before each shuffle, and joins on a
-    hub are left to the adaptive skew split. Self-links and repeated links do no harm; no edges give no rows."""
-    e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(low, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    raise RuntimeError("components did not settle")
+from ..operators.components import components  # noqa: F401

@@ -13,8 +13,6 @@ from .common import record_batch, slices, table
 #: The fit's bounds: labelled rows for each language and in all; characters for each language and in all, where a
 #: language's first row counts whatever its length and the row that reaches the bound is taken whole.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, SAMPLE_CHARS_ALL = 300, 6000, 6_000_000, 120_000_000
-#: The most frequent languages are learned, this many at most.
-LANGUAGES = 1000
 LANDMARKS, RIDGE, SPACE = 64, 1e-3, 256 + 65536 + (1 << 24)
 LETTER = regex.compile(r"\p{L}")
 
@@ -97,13 +95,13 @@ def fit(docs: DataFrame) -> Classifier:
     language's rows are counted first, and only those below a hash limit that lets about two samples through are ordered."""
     d = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     # by a uniform hash first, about two samples of each language, so that no language's rows meet in one task
-    langs = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * SAMPLE / r["count"])) for r in langs], "lang string, share double")
-    pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
+    share = d.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.count("*")).alias("share"))
+    langs = share.count()
+    pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).join(share, "lang").where(F.col("h") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
     order = Window.partitionBy("lang").orderBy("h", "text")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ids = pick.withColumn("n", F.row_number().over(order)).withColumn("before", before).where(F.col("n") <= SAMPLE)
-    ids = ids.where(F.col("before") < min(SAMPLE_CHARS, SAMPLE_CHARS_ALL // max(1, len(langs))))
+    ids = ids.where(F.col("before") < min(SAMPLE_CHARS, SAMPLE_CHARS_ALL // max(1, langs)))
     return Classifier([(r.text, r.lang) for r in ids.select("text", "lang", "n").orderBy("n", "lang").limit(SAMPLE_ALL).collect() if LETTER.search(r.text)])
 
 
@@ -124,19 +122,25 @@ def identify(docs: DataFrame, model: Classifier) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; one pass, no join. If nothing could be learned, every
-    text with a letter stays."""
+def with_language(docs: DataFrame, model: Classifier, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose text has a language, of `languages` if given; all columns, `lang` (if docs have it) being
+    the prediction. One pass, no join. If nothing could be learned, every text with a letter stays as it is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    to = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches):
         m = shared.value
         kernel = Kernel(m.landmarks) if m.langs else None
         for b in slices(batches, 64):
             text = b.column(at).to_pylist()
-            keep = [x != "und" for x, _ in m.predict(text, kernel)] if m.langs else [bool(t and LETTER.search(t)) for t in text]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            if not m.langs:
+                yield b.filter(pa.array([bool(t and LETTER.search(t)) for t in text], pa.bool_()))
+                continue
+            lang = [x for x, _ in m.predict(text, kernel)]
+            if to is not None:
+                b = b.set_column(to, b.schema.field(to), pa.array(lang, b.schema.field(to).type))
+            yield b.filter(pa.array([x != "und" and (languages is None or x in languages) for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -18,7 +18,6 @@ from . import near_copies
 from .common import cut, record_batch, slices, table
 from .components import components
 
-GAPS = b" \t\n\x0b\x0c\r"
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: An anchor with more fingerprints than this is refined by the finest covering (every word an anchor of its own).
 CAP = 256
