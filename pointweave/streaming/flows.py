@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -78,7 +79,7 @@ def track(df: DataFrame, least_iou: float = 0.3, confirm: int = 3, most_missed:
     detections is one row with a null det."""
 
     def step(key, frames, state):
-        new_id, tracks, last = 0, [], -(1 << 62)
+        new_id, tracks, last = 1, [], -(1 << 62)  # ids begin at 1
         if state.exists:
             new_id, held = state.get
             held = json.loads(held)
@@ -99,24 +100,39 @@ def track(df: DataFrame, least_iou: float = 0.3, confirm: int = 3, most_missed:
     return df.groupBy("stream").applyInPandasWithState(step, TRACK, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def background(df: DataFrame, rate: float = 0.05, factor: float = 2.5, floor: float = 15.0) -> DataFrame:
-    """(y, x, frame, foreground) of (y, x, frame, v): running mean and variance of each pixel; foreground if the value
-    lies over factor deviations from the mean; the first value sets the mean, and floor the variance."""
+TILE = 32
+
+
+def background_step(values: np.ndarray, mean: np.ndarray, var: np.ndarray, rate: float, sigma: float, initial: float):
+    """One frame's values against the model of the same pixels (NaN mean: not seen yet): foreground, mean, variance.
+    The first value sets the mean and is background; foreground is learned at a tenth of the rate."""
+    fresh = np.isnan(mean)
+    delta = np.where(fresh, 0.0, values - mean)
+    fore = np.abs(delta) > sigma * np.sqrt(np.maximum(var, 1.0))
+    alpha = np.where(fore, rate * 0.1, rate)
+    new = np.maximum((1 - alpha) * var + alpha * delta * delta, 1.0)
+    return fore & ~fresh, np.where(fresh, values, mean + alpha * delta), np.where(fresh, initial, new)
+
+
+def background(df: DataFrame, rate: float = 0.02, sigma: float = 3.0, initial: float = 225.0) -> DataFrame:
+    """(y, x, frame, foreground) of (y, x, frame, v): a running mean and variance of each pixel; foreground if a value
+    lies over sigma deviations from the mean. A tile of pixels is one state, worked on as arrays frame by frame; frames
+    of a batch are sorted, a pixel occurs once in a frame."""
 
     def step(key, parts, state):
-        mean, var = state.get if state.exists else (None, floor)
-        out = []
-        for r in pd.concat(list(parts)).sort_values("frame").itertuples():
-            v = float(r.v)
-            mean = v if mean is None else mean
-            d = v - mean
-            out.append((key[0], key[1], int(r.frame), d * d > factor * factor * var))
-            mean += rate * d
-            var = max(floor, (1 - rate) * (var + rate * d * d))
-        state.update((mean, var))
-        yield pd.DataFrame(out, columns=["y", "x", "frame", "foreground"])
-
-    return df.groupBy("y", "x").applyInPandasWithState(step, "y long, x long, frame long, foreground boolean", "mean double, var double", "append", GroupStateTimeout.NoTimeout)
+        mean, var = (np.frombuffer(b, float).copy() for b in state.get) if state.exists else (np.full(TILE * TILE, np.nan), np.full(TILE * TILE, initial))
+        rows = pd.concat(list(parts)).sort_values("frame", kind="stable")
+        at = (rows.y.to_numpy() % TILE * TILE + rows.x.to_numpy() % TILE).astype(int)
+        v, frame, fore = rows.v.to_numpy(float), rows.frame.to_numpy(), np.zeros(len(rows), bool)
+        begin = np.flatnonzero(np.append(True, frame[1:] != frame[:-1]))
+        for a, b in zip(begin, np.append(begin[1:], len(rows))):
+            k = at[a:b]
+            fore[a:b], mean[k], var[k] = background_step(v[a:b], mean[k], var[k], rate, sigma, initial)
+        state.update((mean.tobytes(), var.tobytes()))
+        yield pd.DataFrame({"y": rows.y.to_numpy(), "x": rows.x.to_numpy(), "frame": frame, "foreground": fore})
+
+    tiled = df.withColumns({"_ty": F.floor(F.col("y") / TILE), "_tx": F.floor(F.col("x") / TILE)})
+    return tiled.groupBy("_ty", "_tx").applyInPandasWithState(step, "y long, x long, frame long, foreground boolean", "mean binary, var binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def continuity(df: DataFrame) -> DataFrame:

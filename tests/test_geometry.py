@@ -112,8 +112,31 @@ def test_streamed_tracks_and_background(spark, tmp_path):
     got = flows.drain(flows.track(flows.source(spark, str(tmp_path / "det"), det)), str(tmp_path / "out"), str(tmp_path / "state"))
     assert got["rows_in"] == 4
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("frame").collect()
-    assert [(r.frame, r.id, r.hits, r.state) for r in rows] == [(0, 0, 1, "tentative"), (1, 0, 2, "tentative"), (2, 0, 3, "confirmed"), (3, 0, 4, "confirmed")]
+    assert [(r.frame, r.id, r.hits, r.state) for r in rows] == [(0, 1, 1, "tentative"), (1, 1, 2, "tentative"), (2, 1, 3, "confirmed"), (3, 1, 4, "confirmed")]
     pix = "y long, x long, frame long, v double"
     spark.createDataFrame([(0, 0, f, 200.0 if f == 5 else 10.0) for f in range(6)], pix).coalesce(1).write.parquet(str(tmp_path / "pix"))
     flows.drain(flows.background(flows.source(spark, str(tmp_path / "pix"), pix)), str(tmp_path / "fg"), str(tmp_path / "state2"))
     assert [r.foreground for r in spark.read.parquet(str(tmp_path / "fg")).orderBy("frame").collect()] == [False] * 5 + [True]
+
+
+def test_background_learns_foreground_slowly(spark, tmp_path):
+    r = np.random.default_rng(2)
+    frames = r.integers(90, 110, (12, 3, 40)).astype(float)
+    frames[5:9, 1, 33:] = 240
+    rows = [(y, x, f, float(frames[f, y, x])) for f in range(12) for y in range(3) for x in range(40)]
+    pix = "y long, x long, frame long, v double"
+    for part in range(2):  # the state goes on over micro-batches
+        spark.createDataFrame([x for x in rows if x[2] // 6 == part], pix).coalesce(1).write.mode("append").parquet(str(tmp_path / "pix"))
+        flows.drain(flows.background(flows.source(spark, str(tmp_path / "pix"), pix), 0.05, 2.0, 50.0), str(tmp_path / "fg"), str(tmp_path / "state"))
+    got = {(x.frame, x.y, x.x): x.foreground for x in spark.read.parquet(str(tmp_path / "fg")).collect()}
+    for y in range(3):
+        for x in range(40):
+            mean, var = frames[0, y, x], 50.0
+            assert not got[0, y, x]
+            for f in range(1, 12):
+                d = frames[f, y, x] - mean
+                fore = abs(d) > 2.0 * max(var, 1.0) ** 0.5
+                a = 0.005 if fore else 0.05
+                mean, var = mean + a * d, max((1 - a) * var + a * d * d, 1.0)
+                assert got[f, y, x] == fore
+    assert sum(got.values()) >= 28
