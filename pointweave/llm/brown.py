@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER, cut, hashed_words, mix, record_batch, slices, table
 
-LEAST, WORDS, CLASSES, ROUNDS, FLUSH = 20, 1 << 16, 64, 6, 400_000
+LEAST, WORDS, CLASSES, ROUNDS, FLUSH, BLOCK = 20, 1 << 16, 64, 6, 800_000, 250_000
 KINDS = 1 << 10
 END = int(mix(np.array([0xE0F], np.uint64)).view(np.int64)[0])
 
@@ -66,6 +66,26 @@ def _summed(rows, names: list[str], keys_of):
     return got.groupBy(*names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
 
 
+def _blocks(batches):
+    """Pairs in rows of many, as bytes: what is read again and again isn't taken apart each time."""
+    schema, held, n = pa.schema([("key", pa.binary()), ("n", pa.binary())]), [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+        if n > BLOCK:
+            yield record_batch(schema, [[np.concatenate(c).tobytes()] for c in zip(*held)])
+            held, n = [], 0
+    if held:
+        yield record_batch(schema, [[np.concatenate(c).tobytes()] for c in zip(*held)])
+
+
+def _pairs_of(batches):
+    for b in batches:
+        for key, n in zip(b.column(0), b.column(1)):
+            yield np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+
+
 def objective(matrix: np.ndarray) -> float:
     """What exchange raises: the log likelihood of class bigrams, up to a part that no exchange changes."""
     log = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
@@ -81,40 +101,45 @@ def exchange(pairs: DataFrame, size: int, rounds: int = ROUNDS, classes: int = C
     every = classes + 1
     group = np.append(np.arange(size) % classes, [classes]).astype(np.int64)
 
+    blocks = cut(pairs.select("key", "n").mapInArrow(_blocks, "key binary, n binary"))
+    one = pa.schema([("m", pa.binary())])
+
     def bigrams(g) -> np.ndarray:
+        """One matrix a task, added up in up to 16 tasks before the driver."""
         shared = sc.broadcast(g)
-        s = pa.schema([("k", pa.int64()), ("n", pa.int64())])
 
         def run(batches):
             total = np.zeros(every * every)
-            for b in batches:
-                key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for key, n in _pairs_of(batches):
                 total += np.bincount(shared.value[key >> 32] * every + shared.value[key & 0xFFFFFFFF], weights=n, minlength=every * every)
-            k = np.flatnonzero(total)
-            yield record_batch(s, [k, total[k].astype(np.int64)])
+            yield record_batch(one, [[total.tobytes()]])
 
-        out = np.zeros(every * every)
-        for r in pairs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            out[r.k] = r.n
-        return out.reshape(every, every)
+        def add(batches):
+            total = np.zeros(every * every)
+            for b in batches:
+                for m in b.column(0).to_pylist():
+                    total += np.frombuffer(m)
+            yield record_batch(one, [[total.tobytes()]])
+
+        got = blocks.mapInArrow(run, "m binary").repartition(16).mapInArrow(add, "m binary").collect()
+        return np.sum([np.frombuffer(bytes(r.m)) for r in got], axis=0).reshape(every, every)
 
     matrix = bigrams(group)
     history = [objective(matrix)]
-    slot = pa.schema([("w", pa.int64()), ("slot", pa.int64()), ("n", pa.int64())])
+    slot = pa.schema([("at", pa.int64()), ("n", pa.int64())])
     move = pa.schema([("w", pa.int64()), ("k", pa.int64()), ("gain", pa.float64())])
     for turn in range(rounds if size else 0):
         shared = sc.broadcast((group, np.log(matrix + 0.5), np.log(matrix.sum(1) + 1), np.log(matrix.sum(0) + 1)))
 
         def contexts(batches, shared=shared, turn=turn):
             g = shared.value[0]
-            for b in batches:
-                key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for key, n in _pairs_of(batches):
                 a, c = key >> 32, key & 0xFFFFFFFF
                 left, right = (a < size) & (a % 2 == turn % 2), (c < size) & (c % 2 == turn % 2)
                 k = np.concatenate((a[left] * 2 * every + g[c[left]], c[right] * 2 * every + every + g[a[right]]))
                 u, at = np.unique(k, return_inverse=True)
                 m = np.bincount(at, weights=np.concatenate((n[left], n[right])), minlength=len(u)).astype(np.int64)
-                yield record_batch(slot, [u // (2 * every), u % (2 * every), m])
+                yield record_batch(slot, [u, m])
 
         def moves(batches, shared=shared):
             g, log, out, into = shared.value
@@ -131,8 +156,8 @@ def exchange(pairs: DataFrame, size: int, rounds: int = ROUNDS, classes: int = C
                 on = np.flatnonzero(up > 0)
                 yield record_batch(move, [w[on], best[on], up[on]])
 
-        per = pairs.select("key", "n").mapInArrow(contexts, "w long, slot long, n long").groupBy("w", "slot").agg(F.sum("n").alias("n"))
-        per = per.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("ctx"))
+        per = blocks.mapInArrow(contexts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        per = per.groupBy(F.floor(F.col("at") / (2 * every)).alias("w")).agg(F.collect_list(F.struct((F.col("at") % (2 * every)).alias("slot"), "n")).alias("ctx"))
         found = per.mapInArrow(moves, "w long, k long, gain double").toArrow()  # at most one row a word
         w, k, gain = (found.column(c).to_numpy() for c in range(3))
         order = np.lexsort((w, -gain))
@@ -202,7 +227,7 @@ def train(text: DataFrame, least: int = LEAST, words: int = WORDS, rounds: int =
         n = _numbers(tokens(t), *shared.value)
         return np.append(n[-1], n[:-1]) << 32 | n
 
-    pairs = cut(_summed(text, ["key", "n"], pairs_of))
+    pairs = _summed(text, ["key", "n"], pairs_of)
     group, matrix, history = exchange(pairs, len(word) + KINDS, rounds, classes)
     every = classes + 1
     move = np.log10((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * every))
