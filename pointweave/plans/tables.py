@@ -118,7 +118,7 @@ def masks(s, d):
     v = read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     t = v.select("vec_id", tensors.descriptor(F.col("e"), F.array(F.lit(1), F.lit(8), F.lit(8))).alias("tensor"))
     m = tensors.decode_mask(t, 0.05)
-    return m.select("vec_id", "height", "width", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("on"))
+    return m.select("vec_id", "height", "width", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("lit"))
 
 
 def props(s, d):
@@ -212,7 +212,7 @@ SELECT pid, round((x * k + 2 * 0.001 * x * y - 0.001 * (r + 2 * x * x)) * 500 +
     "swap_red_blue": f"SELECT image_id, v, u, b AS r, g, r AS b FROM {PIXELS}",
     "gray_to_rgb": f"SELECT u, r, r AS g, r AS b FROM {PIXELS}",
     "detection_tensors": "SELECT o_orderkey // 5 AS tensor_id, row_number() OVER (PARTITION BY o_orderkey // 5 ORDER BY o_orderkey) - 1 AS n, CAST(o_custkey % 50 AS DOUBLE) AS x0, CAST(o_orderkey % 40 AS DOUBLE) AS y0, CAST(o_custkey % 50 + 8 AS DOUBLE) AS x1, CAST(o_orderkey % 40 + 6 AS DOUBLE) AS y1, round(o_totalprice, 4) AS score, o_custkey % 3 AS class_id FROM orders",
-    "mask_tensors": "SELECT vec_id, 8::BIGINT AS height, 8::BIGINT AS width, CAST(len(list_filter(embedding::DOUBLE[], lambda x: x >= 0.05)) AS INT) AS \"on\" FROM embeddings",
+    "mask_tensors": "SELECT vec_id, 8::BIGINT AS height, 8::BIGINT AS width, CAST(len(list_filter(embedding::DOUBLE[], lambda x: x >= 0.05)) AS INT) AS lit FROM embeddings",
     "json_values": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, '{\"a\":' || event_id || ',\"z\":{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}}' AS canonical FROM events",
     "stream_crop": "SELECT event_id AS pid, CAST(user_id AS DOUBLE) AS x, round(value, 4) AS y, CAST(event_id % 10 AS DOUBLE) AS z FROM events WHERE user_id BETWEEN 10 AND 90 AND value BETWEEN 50 AND 400 AND event_id % 10 BETWEEN 2 AND 8",
     "stream_transform": "SELECT event_id AS pid, round(1 - value, 4) AS x, CAST(user_id + 2 AS DOUBLE) AS y, CAST(event_id % 10 * 2 + 3 AS DOUBLE) AS z FROM events",
