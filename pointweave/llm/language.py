@@ -13,6 +13,8 @@ from .common import record_batch, slices, table
 #: The fit's bounds: labelled rows for each language and in all; characters for each language and in all, where a
 #: language's first row counts whatever its length and the row that reaches the bound is taken whole.
 SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, SAMPLE_CHARS_ALL = 300, 6000, 6_000_000, 120_000_000
+#: Languages up to which their table is broadcast (some 100 bytes each).
+BROADCAST_LANGS = 50_000
 LANDMARKS, RIDGE, SPACE = 64, 1e-3, 256 + 65536 + (1 << 24)
 LETTER = regex.compile(r"\p{L}")
 
@@ -97,6 +99,7 @@ def fit(docs: DataFrame) -> Classifier:
     # by a uniform hash first, about two samples of each language, so that no language's rows meet in one task
     share = d.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.count("*")).alias("share"))
     langs = share.count()
+    share = F.broadcast(share) if langs <= BROADCAST_LANGS else share
     pick = d.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).join(share, "lang").where(F.col("h") < F.lit(2.0**64) * F.col("share") - F.lit(2.0**63))
     order = Window.partitionBy("lang").orderBy("h", "text")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
