@@ -14,7 +14,7 @@ from ..streaming import flows
 from .spatial import CUST, EVENTS, PART, cloud_cust, cloud_part, read, rounded, stamped
 
 CAMERA = depth.Camera(500.0, 480.0, 320.0, 240.0, -0.15, 0.02, 0.001, -0.001, 0.003)
-PLAIN = depth.Camera(500.0, 480.0, 10.0, 12.0)
+PLAIN = depth.Camera(510.0, 470.0, 10.0, 12.0)
 BEAM = f"(SELECT pid, x / 100 AS x, y / 200 AS y, z + 1.0 AS z FROM {PART})"
 PIXELS = "(SELECT p_partkey % 3 AS image_id, p_size AS v, p_partkey AS u, CASE WHEN p_partkey % 11 = 0 THEN 0.0 ELSE p_retailprice / 100 END AS depth, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 AS b FROM part)"
 
@@ -158,9 +158,9 @@ QUERIES = {
     "pose_accumulation": poses,
     "camera_project_distorted": lambda s, d: rounded(depth.project(beam(s, d), CAMERA), "u", "v", to=6).select("pid", "u", "v"),
     "camera_unproject": lambda s, d: rounded(depth.unproject(depth.project(beam(s, d), CAMERA).selectExpr("pid", "u", "v", "z as depth"), CAMERA), "x", "y", "z", to=6).select("pid", "x", "y", "z"),
-    "depth_dense": lambda s, d: rounded(depth.depth_to_xyz_dense(depths(s, d), PLAIN, 1.0, 9.5).withColumn("valid", F.expr("not isnan(z)")).na.fill(0.0), "x", "y", "z", to=8).select("image_id", "v", "u", "valid", "x", "y", "z"),
-    "depth_cloud": lambda s, d: rounded(depth.depth_to_cloud(depths(s, d), PLAIN, 0.5, 0.0, 5.2), "x", "y", "z", to=8).select("image_id", "v", "u", "x", "y", "z"),
-    "rgbd_cloud": lambda s, d: rounded(depth.rgbd_to_cloud(depths(s, d), colours(s, d), PLAIN), "x", "y", "z", to=8).select("image_id", "u", "x", "y", "z", "r", "g", "b"),
+    "depth_dense": lambda s, d: rounded(depth.depth_to_xyz_dense(depths(s, d), PLAIN, 1.0, 9.5).withColumn("valid", F.expr("not isnan(z)")).na.fill(0.0), "x", "y", "z", to=6).select("image_id", "v", "u", "valid", "x", "y", "z"),
+    "depth_cloud": lambda s, d: rounded(depth.depth_to_cloud(depths(s, d), PLAIN, 0.5, 0.0, 5.2), "x", "y", "z", to=6).select("image_id", "v", "u", "x", "y", "z"),
+    "rgbd_cloud": lambda s, d: rounded(depth.rgbd_to_cloud(depths(s, d), colours(s, d), PLAIN), "x", "y", "z", to=6).select("image_id", "u", "x", "y", "z", "r", "g", "b"),
     "point_map_cloud": mapped,
     "pack_chw": packed,
     "swap_red_blue": lambda s, d: tensors.swap_red_blue(colours(s, d)),
@@ -204,9 +204,9 @@ UNION ALL SELECT id + 1, -s, c, -y + (id + 1), x + 2.0, z + (id + 1) % 3 FROM p
     "camera_project_distorted": f"""WITH n AS (SELECT pid, x / z AS x, y / z AS y FROM {BEAM}), r AS (SELECT *, x * x + y * y AS r FROM n), k AS (SELECT *, 1 + r * (-0.15 + r * (0.02 + r * 0.003)) AS k FROM r)
 SELECT pid, round((x * k + 2 * 0.001 * x * y - 0.001 * (r + 2 * x * x)) * 500 + 320, 6) AS u, round((y * k + 0.001 * (r + 2 * y * y) - 2 * 0.001 * x * y) * 480 + 240, 6) AS v FROM k""",
     "camera_unproject": f"SELECT pid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM {BEAM}",
-    "depth_dense": f"SELECT image_id, v, u, {_VALID} AS valid, CASE WHEN {_VALID} THEN round((u - 10) * depth / 500, 8) ELSE 0 END AS x, CASE WHEN {_VALID} THEN round((v - 12) * depth / 480, 8) ELSE 0 END AS y, CASE WHEN {_VALID} THEN round(depth, 8) ELSE 0 END AS z FROM {PIXELS}",
-    "depth_cloud": f"SELECT image_id, v, u, round((u - 10) * depth * 0.5::DOUBLE / 500, 8) AS x, round((v - 12) * depth * 0.5::DOUBLE / 480, 8) AS y, round(depth * 0.5::DOUBLE, 8) AS z FROM {PIXELS} WHERE depth > 0 AND depth * 0.5::DOUBLE <= 5.2",
-    "rgbd_cloud": f"SELECT image_id, u, round((u - 10) * depth / 500, 8) AS x, round((v - 12) * depth / 480, 8) AS y, round(depth, 8) AS z, r, g, b FROM {PIXELS} WHERE depth > 0",
+    "depth_dense": f"SELECT image_id, v, u, {_VALID} AS valid, CASE WHEN {_VALID} THEN round((u - 10) * depth / 510, 6) ELSE 0 END AS x, CASE WHEN {_VALID} THEN round((v - 12) * depth / 470, 6) ELSE 0 END AS y, CASE WHEN {_VALID} THEN round(depth, 6) ELSE 0 END AS z FROM {PIXELS}",
+    "depth_cloud": f"SELECT image_id, v, u, round((u - 10) * depth * 0.5::DOUBLE / 510, 6) AS x, round((v - 12) * depth * 0.5::DOUBLE / 470, 6) AS y, round(depth * 0.5::DOUBLE, 6) AS z FROM {PIXELS} WHERE depth > 0 AND depth * 0.5::DOUBLE <= 5.2",
+    "rgbd_cloud": f"SELECT image_id, u, round((u - 10) * depth / 510, 6) AS x, round((v - 12) * depth / 470, 6) AS y, round(depth, 6) AS z, r, g, b FROM {PIXELS} WHERE depth > 0",
     "point_map_cloud": f"SELECT pid AS u, x, y, z FROM {CUST} WHERE pid % 13 <> 0 AND pid % 10 >= 4",
     "pack_chw": "WITH p AS (SELECT CAST(floor(p_partkey / 1040) AS BIGINT) AS image_id, p_partkey % 1040 AS place, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_size * 5 AS b FROM part) SELECT image_id, place, round((r / 255.0::DOUBLE - 0.485) / 0.229, 6) AS value FROM p UNION ALL SELECT image_id, place + 1040, round((g / 255.0::DOUBLE - 0.456) / 0.224, 6) FROM p UNION ALL SELECT image_id, place + 2080, round((b / 255.0::DOUBLE - 0.406) / 0.225, 6) FROM p",
     "swap_red_blue": f"SELECT image_id, v, u, b AS r, g, r AS b FROM {PIXELS}",
