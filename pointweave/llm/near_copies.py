@@ -69,20 +69,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the keys that link to others. docs: (id, text); classes: (key, least, bands), least being the
-    smallest id with that key. Of a band with many texts two are held against all others first; what then still lies
+    """(node, root) of the keys that link to others. docs: (id, text); classes: (key, least, bands, n), least being the
+    smallest id with that key, n the number of shingles: sets whose sizes differ by more than the similarity lets pass
+    are no pair. Of a band with many texts two are held against all others first; what then still lies
     outside its largest group is held against every text of the band in another group."""
-    rep = cut(classes.select("key", "least", F.explode("bands").alias("band")))
-    size = cut(rep.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("one"), F.min(F.struct("least", "key"))["key"].alias("two")).where("n > 1"))
+    rep = cut(classes.select("key", "least", "n", F.explode("bands").alias("band")))
+    fits = lambda a, b: F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
+    size = cut(rep.groupBy("band").agg(F.count("*").alias("rows"), F.min("key").alias("one"), F.min(F.struct("least", "key"))["key"].alias("two")).where("rows > 1"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for t in slices(batches, 4096):
-            out = [pair for f in t.column(0).to_pylist() for pair in combinations(sorted(f), 2)]
+            out = [(a["key"], b["key"]) for f in t.column(0).to_pylist() for a, b in combinations(sorted(f, key=lambda x: x["key"]), 2) if min(a["n"], b["n"]) >= (similarity - 1e-9) * max(a["n"], b["n"])]
             yield record_batch(schema, list(zip(*out)) if out else [[], []])
 
-    pairs = rep.join(size.where(F.col("n") <= CAP).select("band"), "band").groupBy("band").agg(F.collect_list("key").alias("f")).select("f").mapInArrow(run, "a long, b long")
-    large = cut(rep.join(size.where(F.col("n") > CAP).select("band", "one", "two"), "band"))
+    pairs = rep.join(size.where(F.col("rows") <= CAP).select("band"), "band").groupBy("band").agg(F.collect_list(F.struct("key", "n")).alias("f")).select("f").mapInArrow(run, "a long, b long")
+    large = cut(rep.join(size.where(F.col("rows") > CAP).select("band", "one", "two"), "band"))
     for hub in ("one", "two"):
         pairs = pairs.unionByName(large.where(F.col(hub) != F.col("key")).select(F.least(hub, "key").alias("a"), F.greatest(hub, "key").alias("b")))
     pairs = cut(pairs.distinct())
@@ -101,11 +103,11 @@ def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -
     found = cut(components(links))
     if large.isEmpty():
         return found
-    named = cut(large.select("key", "band").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root")))
+    named = cut(large.select("key", "band", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", "n", F.coalesce("root", "key").alias("root")))
     mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("main")).where("lo != hi").select("band", "main")
     named = cut(named.join(mixed, "band"))
     if named.isEmpty():
         return found
-    rest = named.where("root != main").select("band", F.col("key").alias("x"), F.col("root").alias("other"))
-    more = rest.join(named, "band").where("root != other").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = named.where("root != main").select("band", F.col("key").alias("x"), F.col("root").alias("other"), F.col("n").alias("m"))
+    more = rest.join(named, "band").where((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return cut(components(links.unionByName(_verified(more, sets, similarity))))

@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp, key, bands): also what the links by shared shingles need, in the same pass."""
-    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([(id_col, pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def run(batches):
         for b in slices(batches):
@@ -164,9 +164,9 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fp = np.array([fingerprint(t) for t in text], np.uint64)
             sets = [near_copies.shingles(t) for t in text]
             key = np.array([near_copies.key_of(s) for s in sets], np.uint64)
-            yield record_batch(schema, [b.column(0), fp.view(np.int64), key.view(np.int64), [near_copies.bands(s).view(np.int64) for s in sets]])
+            yield record_batch(schema, [b.column(0), fp.view(np.int64), key.view(np.int64), [near_copies.bands(s).view(np.int64) for s in sets], list(map(len, sets))])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{id_col} long, fp long, key long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{id_col} long, fp long, key long, bands array<long>, n long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = near_copies.SIMILARITY) -> DataFrame:
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by = "fp" if similarity is None else "key"
     fp = cut(fingerprints(docs, id_col, text_col) if similarity is None else _sketched(docs, id_col, text_col))
     least = F.min(id_col).alias("least")
-    classes = cut(fp.groupBy(by).agg(*([least] if similarity is None else [least, F.first("bands").alias("bands")])))
+    classes = cut(fp.groupBy(by).agg(*([least] if similarity is None else [least, F.first("bands").alias("bands"), F.first("n").alias("n")])))
     roots = cut(components(links(classes))) if similarity is None else near_copies.roots(docs.select(id_col, text_col), classes, similarity)
     named = classes.join(roots.withColumnRenamed("node", by), by, "left").select(by, "least", F.coalesce("root", by).alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(by, "component_id")
