@@ -8,13 +8,22 @@ from .shared import cut
 
 
 def nearest_in_time(primary: DataFrame, other: DataFrame, gap_ns: int) -> DataFrame:
-    """For each primary row (id, ts_ns) the nearest other row within gap_ns; equal gaps: the earlier one. A time-bucket
-    equi-join, so a topic never meets in one task."""
-    b = lambda c: F.floor(F.col(c) / gap_ns)
-    p = primary.select("id", "ts_ns").withColumn("b", F.explode(F.array(b("ts_ns") - 1, b("ts_ns"), b("ts_ns") + 1)))
-    o = other.select(F.col("id").alias("match_id"), F.col("ts_ns").alias("match_ns")).withColumn("b", b("match_ns"))
-    near = p.join(o, "b").withColumn("dt", F.abs(F.col("ts_ns") - F.col("match_ns"))).where(F.col("dt") <= gap_ns)
-    return near.groupBy("id", "ts_ns").agg(F.min(F.struct("dt", "match_ns", "match_id")).alias("m")).select("id", "ts_ns", "m.match_id", "m.dt")
+    """For each primary row (id, ts_ns) the nearest other row within gap_ns; equal gaps: the earlier one, then the least
+    id. Rows of both sides lie in ranges of time; within a range one pass each way carries the last other time seen, and
+    what a range lacks comes from the ends of the ranges around it, so no row meets more than two."""
+    o = other.where("ts_ns is not null").groupBy("ts_ns").agg(F.min("id").alias("match_id")).select("ts_ns", F.struct(F.col("ts_ns").alias("match_ns"), "match_id").alias("m"))
+    p = primary.where("ts_ns is not null").select("ts_ns", "id").distinct().withColumn("asks", F.lit(True))
+    both = p.withColumn("m", F.lit(None).cast(o.schema["m"].dataType)).unionByName(o.withColumns({"id": F.lit(None).cast(p.schema["id"].dataType), "asks": F.lit(False)}))
+    both = cut(both.repartitionByRange("ts_ns").withColumn("_part", F.spark_partition_id()))
+    ends = both.groupBy("_part").agg(F.min("m").alias("first"), F.max("m").alias("last"))  # one row for each range
+    around = Window.orderBy("_part")
+    ends = ends.select("_part", F.last("last", True).over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("first", True).over(around.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    seen = lambda *by: F.last("m", True).over(Window.partitionBy("_part").orderBy(*by, "asks").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_l", seen("ts_ns")).withColumn("_r", seen(F.desc("ts_ns"))).where("asks").join(F.broadcast(ends), "_part")
+    far = lambda m: F.struct(F.abs(F.col("ts_ns") - m["match_ns"]).alias("dt"), m["match_ns"].alias("match_ns"), m["match_id"].alias("match_id"))
+    l, r = F.coalesce("_l", "_before"), F.coalesce("_r", "_after")
+    near = near.select("id", "ts_ns", F.least(F.when(l.isNotNull(), far(l)), F.when(r.isNotNull(), far(r))).alias("m"))
+    return near.where(F.col("m.dt") <= gap_ns).select("id", "ts_ns", "m.match_id", "m.dt")
 
 
 def deltas(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
