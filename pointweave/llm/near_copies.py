@@ -19,6 +19,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
 #: Of a band with more texts than this not all pairs are made at once.
 CAP = 16
+#: Texts of a band that one task holds against as many others; bytes of a signature, and the share of them that pairs at
+#: the similarity have in common but for 1 in 10 million.
+BLOCK, SIGNED, SLACK = 1024, 512, 5.3
 _ODD = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -56,6 +59,43 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return n / (len(a) + len(b) - n)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """A byte of each of SIGNED min-hashes."""
+    x = mix(np.arange(10_000, 10_000 + 2 * SIGNED, dtype=np.uint64))
+    least = np.full(SIGNED, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(s), 256):
+            least = np.minimum(least, ((s[k : k + 256, None] ^ x[:SIGNED]) * (x[SIGNED:] | np.uint64(1))).min(0))
+    return (mix(least) & np.uint64(255)).astype(np.uint8)
+
+
+def _links_of_bands(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of texts (key, band, root) of one band and different roots. A band is dealt to blocks of about BLOCK
+    texts and two blocks meet in one task, which compares signatures and verifies what may pass on the sets: only links
+    leave it. Rows are repeated once for each block of their band."""
+    blocks = named.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = named.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key", "band"), F.col("blocks")))
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "key", "root").join(sets, "key")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    share = similarity - SLACK * (similarity * (1 - similarity) / SIGNED) ** 0.5
+
+    def run(t: pa.Table) -> pa.Table:
+        key, root, own = (t[c].to_numpy() for c in ("key", "root", "own"))
+        s = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+        sign, n = np.array([signature(x) for x in s]), np.array(list(map(len, s)))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        right, out = np.flatnonzero(own == j), []
+        for x in np.flatnonzero(own == i):
+            y = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) >= (similarity - 1e-9) * np.maximum(n[right], n[x]))]
+            y = y[key[y] > key[x]] if i == j else y
+            y = y[(sign[y] == sign[x]).mean(1) >= share]
+            out += [(min(key[x], key[k]), max(key[x], key[k])) for k in y if jaccard(s[x], s[k]) >= similarity - 1e-12]
+        return pa.Table.from_batches([record_batch(schema, list(zip(*out)) if out else [[], []])])
+
+    return each.select("band", "i", "j", "own", "key", "root", "s").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -68,13 +108,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
-def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, near: DataFrame | None = None) -> DataFrame:
     """(node, root) of the keys that link to others. docs: (id, text); classes: (key, least, bands, n), least being the
     smallest id with that key, n the number of shingles: sets whose sizes differ by more than the similarity lets pass
-    are no pair. Of a band with many texts two are held against all others first; what then still lies
-    outside its largest group is held against every text of the band in another group."""
+    are no pair. near: further candidates (a, b). Of a band with many texts two are held against all others first; where
+    it then still has several groups, texts of different groups are held against each other by blocks."""
     rep = cut(classes.select("key", "least", "n", F.explode("bands").alias("band")))
-    fits = lambda a, b: F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
     size = cut(rep.groupBy("band").agg(F.count("*").alias("rows"), F.min("key").alias("one"), F.min(F.struct("least", "key"))["key"].alias("two")).where("rows > 1"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -87,6 +126,8 @@ def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -
     large = cut(rep.join(size.where(F.col("rows") > CAP).select("band", "one", "two"), "band"))
     for hub in ("one", "two"):
         pairs = pairs.unionByName(large.where(F.col(hub) != F.col("key")).select(F.least(hub, "key").alias("a"), F.greatest(hub, "key").alias("b")))
+    if near is not None:
+        pairs = pairs.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key")).distinct()
     ids = classes.select("key", "least").join(wanted, "key").select(F.col("least").alias("i")).distinct()
@@ -103,11 +144,9 @@ def roots(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -
     found = cut(components(links))
     if large.isEmpty():
         return found
-    named = cut(large.select("key", "band", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", "n", F.coalesce("root", "key").alias("root")))
-    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("main")).where("lo != hi").select("band", "main")
+    named = cut(large.select("key", "band").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root")))
+    mixed = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     named = cut(named.join(mixed, "band"))
     if named.isEmpty():
         return found
-    rest = named.where("root != main").select("band", F.col("key").alias("x"), F.col("root").alias("other"), F.col("n").alias("m"))
-    more = rest.join(named, "band").where((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return cut(components(links.unionByName(_verified(more, sets, similarity))))
+    return cut(components(links.unionByName(_links_of_bands(named, sets, similarity))))

@@ -169,9 +169,20 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{id_col} long, fp long, key long, bands array<long>, n long")
 
 
+def _near_keys(fp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints lie within 2 bits, as trees: keys of one fingerprint hang on the least,
+    the least keys of fingerprints on each other as `links` has them."""
+    each = cut(fp.select("fp", "key").distinct())
+    head = cut(each.groupBy("fp").agg(F.min("key").alias("head")))
+    same = each.join(head, "fp").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = links(head.select("fp")).join(head.select(F.col("fp").alias("a"), F.col("head").alias("ka")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("kb")), "b")
+    return same.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).where("a != b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = near_copies.SIMILARITY) -> DataFrame:
     """(id, fingerprint, component_id) for each row. Texts link if their 5-word shingles have a Jaccard similarity of
-    `similarity` or more; with None, if their fingerprints lie within 2 bits, as op1 asks. Null, empty and wordless
+    `similarity` or more: candidates are fingerprints within 2 bits, and for what those miss bands of min-hashes, each
+    verified; with None, if their fingerprints lie within 2 bits, as op1 asks. Null, empty and wordless
     texts have fingerprint zero and link like any other; equal texts form one class before any replication, so copies
     cost nothing further; repeated rows stay; component_id is the smallest id reachable; a null id stays a row and
     never names a component unless it has no other. An empty table gives an empty result."""
@@ -179,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = cut(fingerprints(docs, id_col, text_col) if similarity is None else _sketched(docs, id_col, text_col))
     least = F.min(id_col).alias("least")
     classes = cut(fp.groupBy(by).agg(*([least] if similarity is None else [least, F.first("bands").alias("bands"), F.first("n").alias("n")])))
-    roots = cut(components(links(classes))) if similarity is None else near_copies.roots(docs.select(id_col, text_col), classes, similarity)
+    roots = cut(components(links(classes))) if similarity is None else near_copies.roots(docs.select(id_col, text_col), classes, similarity, _near_keys(fp))
     named = classes.join(roots.withColumnRenamed("node", by), by, "left").select(by, "least", F.coalesce("root", by).alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(by, "component_id")
     return fp.join(named, by).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

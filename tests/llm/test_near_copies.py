@@ -46,3 +46,38 @@ def test_bands_meet():
         assert abs(near_copies.jaccard(a, b) - 0.8) < 1e-9
         missed += not set(near_copies.bands(a).tolist()) & set(near_copies.bands(b).tolist())
     assert missed == 0
+
+
+def test_band_of_texts_alike_by_half(spark):
+    """Texts that share half of their words meet in bands without being copies; two of them have a copy each. No pair but
+    the links leaves a task, whichever blocks a band has."""
+    base, texts = [f"b{k}" for k in range(120)], []
+    for k in range(90):
+        texts.append(" ".join(base + [f"o{k}-{j}" for j in range(30)]))
+    for k in (11, 47):
+        w = texts[k].split()
+        w[130 + k // 10] = "else"
+        texts.append(" ".join(w))
+    keys = [near_copies.shingles(t) for t in texts]
+    named = spark.createDataFrame([(n, 5, n) for n in range(len(keys))], "key long, band long, root long")
+    sets = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in enumerate(keys)], "key long, s binary")
+    want = {(a, b) for b in range(len(keys)) for a in range(b) if near_copies.jaccard(keys[a], keys[b]) >= 0.8}
+    assert (11, 90) in want and (47, 91) in want
+    before = near_copies.BLOCK
+    try:
+        for near_copies.BLOCK in (before, 20):
+            got = near_copies._links_of_bands(named, sets, 0.8).collect()
+            assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+    finally:
+        near_copies.BLOCK = before
+
+
+def test_fingerprints_give_candidates(spark):
+    """The named method's part: two texts within 2 bits are a pair to verify."""
+    words = [f"w{k}" for k in range(400)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "else where"), (4, "ELSE where")], "doc_id long, text string")
+    fp = simhash._sketched(d, "doc_id", "text")
+    bits = {x.doc_id: x.fp for x in fp.collect()}
+    key = {x.doc_id: x.key for x in fp.collect()}
+    want = {tuple(sorted((key[1], key[2])))} if bin((bits[1] ^ bits[2]) & (1 << 64) - 1).count("1") <= 2 else set()
+    assert want and {tuple(sorted((x.a, x.b))) for x in simhash._near_keys(fp).collect()} == want
