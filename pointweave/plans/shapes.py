@@ -48,8 +48,12 @@ def planes(s, d):
     return p.groupBy("inlier").agg(F.count("*").alias("n"))
 
 
+#: The reference's own limit (icp.rs, max_iterations); rounds end earlier where the error settles.
+ICP_ROUNDS = 50
+
+
 def aligned(s, d):
-    m, e = geometry.icp(moved(s, d), cloud_part(s, d), 3.0, 4)
+    m, e = geometry.icp(moved(s, d), cloud_part(s, d), 3.0, ICP_ROUNDS)
     return s.createDataFrame([(i, *map(float, r), float(e)) for i, r in enumerate(m)], "row int, a double, b double, c double, d double, error double")
 
 
